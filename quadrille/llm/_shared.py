@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,10 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
 
     (doc_id, rid) is a row's identity in joins: it needs no generated row numbers, which a retried task could
     number anew. Rows that agree in both are repeated rows and share every decision.
+
+    Sets the session's limit on an Arrow batch to 16 MB, so long texts don't fill a Python worker's memory.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     df = pick(docs, doc_id="doc_id", text="text", **{x: x for x in extra})
     return df.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -88,7 +92,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(at)).to_numpy(zero_copy_only=False), dtype=np.float64))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False), dtype=np.float64))
         ends, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

@@ -20,8 +20,9 @@ from ._shared import WHITE, documents, new_path, written
 
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # memory holds the stores of running tasks only
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "16",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "8",
 }
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, language_id, line_dedup, packing
 
 
 def queries() -> dict:
     return {
+        "op1_packing": packing.op1_packing,
+        "op3_language_id": language_id.op3_language_id,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
