@@ -59,7 +59,7 @@ def drops(docs: DataFrame, min_docs: int, keep_first: bool, min_length: int = 1)
     ordered = Window.partitionBy("h1", "h2").orderBy("doc_id", "rid", "pos")
     light = occ.where(~is_heavy).repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "rid", "pos")
     doc = F.struct("doc_id", "rid")
-    light = light.select("*", F.row_number().over(ordered).alias("nth"), F.coalesce(F.lag(doc).over(ordered) != doc, F.lit(True)).cast("int").alias("new_doc"))
+    light = light.select("*", F.rank().over(ordered).alias("nth"), F.coalesce(F.lag(doc).over(ordered) != doc, F.lit(True)).cast("int").alias("new_doc"))
     light = light.withColumn("n_docs", F.sum("new_doc").over(Window.partitionBy("h1", "h2")))
     flagged = light.where(F.col("n_docs") >= min_docs)
     flagged = (flagged.where("nth > 1") if keep_first else flagged).select("doc_id", "rid", "pos")

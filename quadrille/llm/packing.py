@@ -5,8 +5,8 @@ The partitions' token totals, one number each, give the partitions' global offse
 the global stream every ``length`` tokens; a document that crosses a boundary gives one piece a window. No text
 or ids are shuffled, and every window but the last is full, so padding is under ``length`` tokens in all.
 
-Ids come from the tokenizer on each space-delimited chunk, with a bounded cache of chunks. The tokenizer's
-pre-tokenizer never joins across spaces, so this gives the ids of the whole text.
+Ids come from the tokenizer on each distinct word, with a bounded cache of words. Its pre-tokenizer works on one
+word at a time, so this gives the ids of the whole text.
 
 Defined results: null text counts as empty, whose only id is the closing one; repeated rows are packed each; an
 empty table gives no pieces; extra columns are ignored.
@@ -15,7 +15,9 @@ empty table gives no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,47 +27,66 @@ from pyspark.sql import functions as F
 
 from ._shared import documents, small_batches, written
 
-#: Chunks whose ids a Python worker keeps; a full cache is emptied.
-CACHE = 200_000
-SEPARATOR = "\n"
+#: Tokens' texts whose ids a Python worker keeps; a full cache is emptied.
+CACHE = 600_000
+#: Texts of these characters alone are lower-cased and cut into words here: none of them composes with another,
+#: lower-cases by context or into several, or is of another class to one library than to the other.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]*")
+#: The words of a lower-cased text, as the tokenizer's pre-tokenizer finds them.
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
-class ChunkTokenizer:
-    """Ids of texts, chunk by chunk. Chunks are what spaces and line feeds delimit."""
+class WordTokenizer:
+    """Ids of whole texts from the ids of their words, of which each distinct one is tokenized once.
+
+    Texts with characters outside ``PLAIN`` are cut at blanks and line feeds only, which the pre-tokenizer
+    never joins across, and the tokenizer does the rest.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat = None
+        self.code: dict[str, int] = {}  # of words
+        self.odd: dict[str, int] = {}  # of chunks of odd texts
+        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _learn(self, known: dict[str, int], texts: list[str]) -> None:
+        """Adds the ids of ``texts``. Words are tokenized in one go, as each ends with an id that closes a word."""
+        ids, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if known is self.code:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            sizes = np.diff(np.flatnonzero(self.closes[ids]) + 1, prepend=0)
+        if len(sizes) != len(texts):
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids, sizes = np.array([i for x in each for i in x], dtype=np.uint32), np.array([len(x) for x in each], np.int64)
+        known.update(zip(texts, range(len(self.size), len(self.size) + len(texts)), strict=True))
+        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, sizes])
 
     def encode(self, texts: list[str], last: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one array, each text's followed by ``last``; and the number of ids of each text."""
-        if len(self.code) > self.most:
+        if len(self.size) > self.most:
             self.clear()
-        chunked = [t.replace(SEPARATOR, " ").split(" ") for t in texts]
-        new = list({c for chunks in chunked for c in chunks if c not in self.code})
-        if new:
-            for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.code[chunk] = len(self.ids)
-                self.ids.append(np.array(found.ids, dtype=np.uint32))
-        if new or self.flat is None:
-            self.size = np.fromiter(map(len, self.ids), dtype=np.int64, count=len(self.ids))
-            self.start = np.cumsum(self.size) - self.size
-            self.flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
-        look = self.code.__getitem__
-        codes = np.fromiter((c for chunks in chunked for c in map(look, chunks)), dtype=np.int64)
-        doc = np.repeat(np.arange(len(texts)), [len(c) for c in chunked])
+        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        words = [WORD.findall(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
+        for known, kind in ((self.code, True), (self.odd, False)):
+            if new := set(chain.from_iterable(own for own, p in zip(words, plain, strict=True) if p is kind)) - known.keys():
+                self._learn(known, list(new))
+        start = np.cumsum(self.size) - self.size
+        looks = [(self.code if p else self.odd).__getitem__ for p in plain]
+        codes = np.fromiter(chain.from_iterable(map(map, looks, words)), dtype=np.int64)
+        doc = np.repeat(np.arange(len(texts)), [len(own) for own in words])
         size = self.size[codes]
         count = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64) + 1
         ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(self.start[codes], size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[codes] - (ends - size), size)
         out = np.full(int(count.sum()), last, dtype=np.uint32)
         keep = np.ones(len(out), dtype=bool)
         keep[np.cumsum(count) - 1] = False
@@ -78,7 +99,7 @@ def tokenized(docs: DataFrame, path: str, last: int) -> DataFrame:
     schema = "part int, local long, doc_id long, tokens long, wide boolean, ids binary"
 
     def run(batches):
-        tokenizer, part, local = ChunkTokenizer(path), TaskContext.get().partitionId(), 0
+        tokenizer, part, local = WordTokenizer(path), TaskContext.get().partitionId(), 0
         for batch in small_batches(batches, limit=2 << 20):
             ids, count = tokenizer.encode(batch.column("text").to_pylist(), last)
             ends = np.cumsum(count)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, packing
+from . import exact_dedup, language_id, line_dedup, packing, sentencepiece_codec
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_language_id": language_id.op3_language_id,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     }
 
 

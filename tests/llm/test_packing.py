@@ -2,10 +2,13 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from quadrille.llm.packing import ChunkTokenizer, default_tokenizer, pack
+from quadrille.llm.packing import WordTokenizer, default_tokenizer, pack
 
-TEXTS = ["One line.\nand  another", None, "", "É l'été can't 42 ok?!  tail ", "日本 x\ty   z q", "a" * 30_000, "One line.\nand  another"] + ["word " * 900] * 9
+OWN = WordTokenizer(default_tokenizer())
+TEXTS = ["<|endoftext|> x<|endoftext|>y","One line.\nand  another", None, "", "É l'été can't 42 ok?!  tail ", "日本 x\ty   z q", "a" * 30_000, "One line.\nand  another"] + ["word " * 900] * 9
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +20,7 @@ def ids():
 
 
 def test_chunks_give_the_ids_of_whole_texts(ids):
-    found, count = ChunkTokenizer(default_tokenizer(), cache=3).encode([x or "" for x in TEXTS], 2)
+    found, count = WordTokenizer(default_tokenizer(), cache=3).encode([x or "" for x in TEXTS], 2)
     assert [list(x) for x in np.split(found, np.cumsum(count)[:-1])] == ids
 
 
@@ -44,5 +47,15 @@ def test_pieces_cover_every_id_once_and_windows_are_full(spark, ids, length):
         assert sum(n for _, n in spans) == length or k == max(windows)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.text(st.sampled_from("aAbsT'd\u2019 .,!_-09éßÉſıİ²½ªµŉ\u0301\x85\x1c\xa0\t\nΣσ日<|>"), max_size=30), st.text(max_size=20)), max_size=5))
+def test_any_text_gives_the_tokenizers_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(default_tokenizer())
+    found, count = OWN.encode(texts, 2)
+    assert [list(x) for x in np.split(found, np.cumsum(count)[:-1])][: len(texts)] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), default_tokenizer()).count() == 0
