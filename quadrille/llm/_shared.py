@@ -101,31 +101,34 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
             start = stop
 
 
-_DELIMITER = np.zeros(256, dtype=bool)
-_DELIMITER[[0x20, *range(0x09, 0x0E)]] = True
+BLANKS = np.zeros(256, dtype=bool)
+BLANKS[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII but letters, for words without punctuation; and ASCII letters folded to lower case.
+NO_LETTERS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts as flat arrays.
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts, or others by ``delimiters``, as flat arrays.
 
     count[d]: words of text d. first[d]: index of its first word. codes: an int32 per word, equal for equal
     words of the batch. distinct: the Arrow array that codes point into.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, delimiters: np.ndarray = BLANKS, fold: np.ndarray | None = None):
         texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
         raw = texts.buffers()[2] if n else None
         data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        inside = ~_DELIMITER[data]
+        inside = ~delimiters[data]
         before = np.empty_like(inside)
         before[:1] = False
         before[1:] = inside[:-1]
         before[offsets[:-1][offsets[:-1] < len(data)]] = False  # a text's first byte follows nothing
         starts = np.flatnonzero(inside & ~before)
-        kept = data[inside]
+        kept = data[inside] if fold is None else fold[data[inside]]
         rank = np.cumsum(inside, dtype=np.int64)  # bytes kept up to and with each
         words = np.append(rank[starts] - 1, len(kept)) if len(starts) else np.zeros(1, np.int64)
         self.first = np.searchsorted(starts, offsets[:-1])

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._features import held_out
 from ._shared import documents, small_batches
 
 DIMENSIONS, SEED = 1024, 20240229
@@ -152,12 +153,7 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, seed: int = S
     return documents(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def remainder(divisor: int):
-    """crc32(doc_id as text) mod ``divisor``; a null doc_id gives null."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
-
-
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = prototypes(docs.where(remainder(4) != 2))
-    return identify(docs, *model).select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    model = prototypes(docs.where(~held_out(4, 2)))
+    return identify(docs, *model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")

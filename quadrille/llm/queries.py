@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, packing, sentencepiece_codec
+from . import exact_dedup, language_id, line_dedup, packing, quality, sentencepiece_codec
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_packing": packing.op1_packing,
         "op3_language_id": language_id.op3_language_id,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op6_quality": quality.op6_quality,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
     }

@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,10 @@ from ._shared import documents, small_batches
 
 BLANK = "▁"
 #: Segments whose ids a worker keeps; a full cache is emptied.
-CACHE = 300_000
+CACHE = 500_000
+#: Segments up to this long are relaxed side by side; a batch of them has this many characters at most.
+SHORT, TOGETHER = 40, 400_000
+LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 
 
 def suffix_array(points: np.ndarray, depth: int) -> np.ndarray:
@@ -80,7 +84,10 @@ class Vocabulary:
             raise ValueError("the model's normalisation isn't the identity with a dummy prefix")
         self.bpe = bool((self.score[self.ids] == np.rint(self.score[self.ids])).all())  # ranks; unigram scores are log likelihoods
         feed = "" if any("\n" in self.pieces[i] for i in plain) else "\n"  # a cut at a line feed splits no piece
-        self.segments = re.compile(f"{BLANK}*[^{BLANK}{feed}]+|{BLANK}+" + "|\n" * bool(feed))
+        parts = f"[^{BLANK}{feed}]+"
+        if not any(re.search(f"{LETTER}[^{BLANK}{LETTER[1:]}|[^{BLANK}{LETTER[1:-1]}]{LETTER}", self.pieces[i]) for i in plain):
+            parts = f"(?:{LETTER}+|[^{BLANK}{feed}{LETTER[1:]}+)"  # nor does one between a letter and another character
+        self.segments = re.compile(f"{BLANK}*{parts}|{BLANK}+" + "|\n" * bool(feed))
 
     def edges(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(from, to, id) of every occurrence of every piece in ``points``, by position."""
@@ -116,7 +123,11 @@ class Codec:
 
     def __init__(self, path: str, cache: int = CACHE):
         self.v, self.most = Vocabulary(path), cache
-        self.cache: dict[str, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: dict[str, int] = {}
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _unmatched(self, char: str) -> list[int]:
         return [self.v.byte[b] for b in char.encode("utf-8", "surrogatepass")] if self.v.byte else [self.v.unknown]
@@ -174,14 +185,66 @@ class Codec:
             b = a
         return [i for part in reversed(path) for i in part]
 
-    def learn(self, segments: list[str]) -> None:
+    def _relax_bpe_together(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """BPE of all segments of ``points`` (0 between them) at once; a round takes each segment's best edge.
+
+        Returns the spans' starts and ids, -1 where no piece covers a character.
+        """
+        span = np.full((len(points), self.v.longest + 1), -1, np.int32)  # id by start and length
+        span[start, end - start] = ids
+        inside = points != 0
+        segment = np.cumsum(~inside)
+        at = np.flatnonzero(inside)  # starts of the spans of segments that still change
+        done_at, done_to = [], []
+        stop = np.append(np.flatnonzero(~inside), len(points))  # end of each segment
+        score = np.append(self.v.score, -np.inf)
+        while len(at):
+            own = segment[at]
+            last = np.append(own[1:] != own[:-1], True)
+            to = np.where(last, stop[own], np.append(at[1:], 0))
+            pair_to = np.append(to[1:], 0)
+            length = pair_to - at
+            fits = ~last & (length <= self.v.longest)
+            value = np.where(fits, score[span[at, np.where(fits, length, 0)]], -np.inf)
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            best = np.maximum.reduceat(value, first)
+            counts = np.diff(np.append(first, len(at)))
+            best_here = np.repeat(best, counts)
+            over = best_here == -np.inf
+            done_at.append(at[over])
+            done_to.append(to[over])
+            hit = np.flatnonzero(~over & (value == best_here))
+            hit = hit[np.append(True, own[hit][1:] != own[hit][:-1])] if len(hit) else hit  # the leftmost of equals
+            stay = ~over
+            stay[hit + 1] = False
+            at = at[stay]
+        at, to = np.concatenate(done_at), np.concatenate(done_to)
+        by = np.argsort(at, kind="stable")
+        at, to = at[by], to[by]
+        length = to - at
+        return at, np.where(length <= self.v.longest, span[at, np.minimum(length, self.v.longest)], -1)
+
+    def _learn(self, segments: list[str]) -> None:
         """Indexes segments that the cache doesn't have and keeps their ids."""
-        points = np.frombuffer("\0".join(segments).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-        if not len(points):
+        points = np.frombuffer(("\0".join(segments) + "\0").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        start, end, ids = self.v.edges(points)
+        if self.v.bpe and max(map(len, segments)) <= SHORT and not any("\0" in x for x in segments):
+            at, found = self._relax_bpe_together(points, start, end, ids)
+            begins = np.cumsum([0] + [len(x) + 1 for x in segments[:-1]])
+            whose = np.searchsorted(begins, at, side="right") - 1
+            odd = found < 0
+            if odd.any():
+                parts = [self._unmatched(chr(c)) for c in points[at[odd]].tolist()]
+                sizes = np.ones(len(at), np.int64)
+                sizes[odd] = [len(x) for x in parts]
+                out = np.repeat(found, sizes)
+                out[out < 0] = np.concatenate(parts)
+                whose, found = np.repeat(whose, sizes), out
+            self._keep(segments, found, np.bincount(whose, minlength=len(segments)))
             return
-        start, end, ids = (x.tolist() for x in self.v.edges(points))
+        start, end, ids = start.tolist(), end.tolist(), ids.tolist()
         relax = self._relax_bpe if self.v.bpe else self._relax_unigram
-        at, e = 0, 0
+        at, e, each = 0, 0, []
         for segment in segments:
             stop = at + len(segment)
             own = {}
@@ -189,18 +252,32 @@ class Codec:
                 if end[e] <= stop:
                     own[start[e] - at, end[e] - at] = ids[e]
                 e += 1
-            self.cache[segment] = np.array(relax(segment, own), np.int32)
+            each.append(relax(segment, own))
             at = stop + 1
+        self._keep(segments, np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64))
+
+    def _keep(self, segments: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.code.update(zip(segments, range(len(self.code), len(self.code) + len(segments)), strict=True))
+        self.flat, self.size = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.size, sizes])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > self.most:
-            self.cache.clear()
+        if len(self.code) > self.most:
+            self.clear()
         cut = [self.v.segments.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = list({s for segments in cut for s in segments if s not in self.cache})
-        if new:
-            self.learn(new)
-        none, look = np.zeros(0, np.int32), self.cache.__getitem__
-        return [np.concatenate(list(map(look, segments))) if segments else none for segments in cut]
+        new = set(chain.from_iterable(cut)) - self.code.keys()
+        short = [x for x in new if len(x) <= SHORT and "\0" not in x]
+        step = max(1, TOGETHER * len(short) // max(1, sum(map(len, short)) + len(short)))
+        for i in range(0, len(short), step):
+            self._learn(short[i : i + step])
+        if rest := [x for x in new if len(x) > SHORT or "\0" in x]:
+            self._learn(rest)
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        begin = (np.cumsum(self.size) - self.size)[codes]
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+        bounds = np.concatenate([[0], ends])[np.cumsum([len(x) for x in cut], dtype=np.int64)]
+        return np.split(ids, bounds[:-1]) if texts else []
 
     def decode(self, ids: np.ndarray) -> str:
         pieces, value = self.v.pieces, self.v.value
