@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, packing, quality, sentencepiece_codec
+from . import exact_dedup, language_id, line_dedup, packing, quality, sentencepiece_codec, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_language_id": language_id.op3_language_id,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op6_quality": quality.op6_quality,
