@@ -4,7 +4,8 @@ Categories are predicted one after the other. Each has a ridge logistic model, w
 weighing the same, over character and word statistics,
 the presence of words that tell the category apart, and the logits of the categories before it. When a later
 model is fitted, the earlier categories' logits come from models that have not seen the row (``FOLDS`` folds by
-a hash of doc_id, words chosen anew in each), as it will meet them on new rows. The driver fits on a bounded sample
+a hash of doc_id, words chosen anew in each), as it will meet them on new rows. The same logits set each
+category's threshold, which is moved to probability 0.5. The driver fits on a bounded sample
 of labelled rows (``SAMPLE``, a parameter); scoring is one pass without a shuffle over whole texts.
 
 Words are runs of letters with A-Z lower-cased. Defined results: null text counts as empty; a category with labels
@@ -27,7 +28,7 @@ from ._features import WIDTH, held_out, labelled_sample, passages
 from ._shared import FOLD, NO_LETTERS, Words, documents, small_batches
 
 #: Labelled rows that a fit reads at most; folds; words a model may use; least chi-square of such a word; ridge.
-SAMPLE, FOLDS, MOST_WORDS, LEAST_CHI, RIDGE = 6000, 5, 256, 30.0, 0.05
+SAMPLE, FOLDS, MOST_WORDS, LEAST_CHI, RIDGE = 6000, 5, 256, 30.0, 0.01
 #: (category, label column, label value that means the category), in the order of the chain.
 CHAIN = (("low_quality", "quality", 0.0), ("toxic", "toxic", 1.0))
 
@@ -50,6 +51,7 @@ class Logistic:
 
     words: list[bytes] = field(default_factory=list)
     weights: np.ndarray | None = None
+    shift: float = 0.0
     constant: float | None = None
 
     def matrix(self, dense: np.ndarray, vocabulary: pa.Array, doc: np.ndarray, word: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -94,7 +96,7 @@ class Logistic:
     def logit(self, dense, vocabulary, doc, word, before) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(dense), (self.constant - 0.5) * 40)
-        return np.clip(self.matrix(dense, vocabulary, doc, word, before) @ self.weights, -20, 20)
+        return np.clip(self.matrix(dense, vocabulary, doc, word, before) @ self.weights - self.shift, -20, 20)
 
 
 def _rows(doc: np.ndarray, word: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +106,17 @@ def _rows(doc: np.ndarray, word: np.ndarray, take: np.ndarray) -> tuple[np.ndarr
     return new[doc[keep]], word[keep]
 
 
+def threshold(logits: np.ndarray, y: np.ndarray) -> float:
+    """Where balanced accuracy is greatest; the middle of the widest gap that reaches it."""
+    by = np.argsort(logits, kind="stable")
+    cuts = np.concatenate([[logits[by[0]] - 2], logits[by], [logits[by[-1]] + 2]])
+    yes, no = np.append(0, np.cumsum(y[by])), np.append(0, np.cumsum(1 - y[by]))
+    gain = no / max(no[-1], 1) - yes / max(yes[-1], 1)  # rows below the cut
+    gaps = np.where(np.isclose(gain, gain.max()), np.diff(cuts), -1)
+    at = int(gaps.argmax())
+    return float((cuts[at] + cuts[at + 1]) / 2)
+
+
 def fit_chain(dense, vocabulary, doc, word, labels: np.ndarray, fold: np.ndarray) -> list[Logistic]:
     """One model a column of ``labels``, each fitted on out-of-fold logits of the columns before."""
     models, before = [], np.zeros((len(dense), 0))
@@ -111,12 +124,14 @@ def fit_chain(dense, vocabulary, doc, word, labels: np.ndarray, fold: np.ndarray
         y = labels[:, k]
         models.append(Logistic().fit(dense, vocabulary, doc, word, before, y))
         unseen = np.zeros(len(y))
-        for f in range(FOLDS if k + 1 < labels.shape[1] else 0):
+        for f in range(FOLDS):
             out = fold == f
             if out.any():
                 part = Logistic().fit(dense[~out], vocabulary, *_rows(doc, word, ~out), before[~out], y[~out])
                 unseen[out] = part.logit(dense[out], vocabulary, *_rows(doc, word, out), before[out])
-        before = np.column_stack([before, unseen])
+        if len(y) and models[-1].constant is None:
+            models[-1].shift = threshold(unseen, y)
+        before = np.column_stack([before, np.clip(unseen - models[-1].shift, -20, 20)])
     return models
 
 

@@ -36,7 +36,11 @@ def test_later_models_learn_from_out_of_fold_logits(monkeypatch):
     r = np.random.default_rng(2)
     dense, y = r.normal(size=(100, 3)), r.integers(0, 2, size=(100, 2)).astype(float)
     models = x.fit_chain(dense, pa.array([], pa.large_binary()), np.zeros(0, int), np.zeros(0, int), y, np.arange(100) % x.FOLDS)
-    assert seen == [(100, 0)] + [(80, 0)] * x.FOLDS + [(100, 1)] and len(models) == 2
+    assert seen == [(100, k) if i == 0 else (80, k) for k in range(2) for i in range(1 + x.FOLDS)] and len(models) == 2
+
+
+def test_threshold_is_in_the_middle_of_the_gap():
+    assert x.threshold(np.array([-5.0, -4, -1, 3]), np.array([0.0, 0, 1, 1])) == -2.5
 
 
 def test_held_out_accuracy(spark):
