@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, packing, quality, sentencepiece_codec, toxicity
+from . import exact_dedup, language_id, line_dedup, packing, quality, sentencepiece_codec, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_language_id": language_id.op3_language_id,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_quality": quality.op6_quality,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
@@ -20,5 +21,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": line_dedup.OP4_SQL,
+        "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }
