@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality, sentencepiece_codec, substring_dedup, toxicity
 
 
@@ -17,6 +19,7 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
