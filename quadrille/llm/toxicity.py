@@ -135,14 +135,34 @@ def fit_chain(dense, vocabulary, doc, word, labels: np.ndarray, fold: np.ndarray
     return models
 
 
+def encoded(df: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id, ``columns``, and statistics (float64) and distinct words (line by line) of the text."""
+
+    def run(batches):
+        for batch in small_batches(batches, limit=1 << 20):
+            texts = batch.column("text")
+            dense = [row.tobytes() for row in statistics(texts)]
+            vocabulary, doc, word = present(texts)
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
+            own = vocabulary.take(pa.array(word)).to_pylist()
+            lists = [b"\n".join(own[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ["doc_id", *columns]] + [pa.array(dense, pa.binary()), pa.array(lists, pa.binary())], names=["doc_id", *columns, "dense", "words"])
+
+    return df.mapInArrow(run, "doc_id long, " + "".join(f"{c} double, " for c in columns) + "dense binary, words binary")
+
+
 def fit(docs: DataFrame, labels: DataFrame, keep=None, chain=CHAIN, sample: int = SAMPLE) -> list[Logistic]:
     """Models of ``chain``'s categories from at most ``sample`` labelled rows for which ``keep`` holds."""
     columns = list(dict.fromkeys(c for _, c, _ in chain))
-    rows = labelled_sample(docs, labels, columns, F.lit(True) if keep is None else keep, sample).toPandas().sort_values(["doc_id", "text"])
-    texts = pa.array(rows.text, pa.string())
+    chosen = labelled_sample(docs, labels, columns, F.lit(True) if keep is None else keep, sample)
+    rows = encoded(chosen, columns).toPandas().sort_values(["doc_id", "dense", "words"])
+    dense = np.frombuffer(b"".join(rows.dense), np.float64).reshape(len(rows), WIDTH - 1)
+    lists = [w.split(b"\n") if w else [] for w in rows.words]
+    coded = pa.array([w for own in lists for w in own], pa.large_binary()).dictionary_encode()
+    doc = np.repeat(np.arange(len(rows)), [len(own) for own in lists])
     y = np.column_stack([(rows[c].to_numpy() == value).astype(float) for _, c, value in chain])
     fold = np.array([xxhash.xxh32_intdigest(str(i)) % FOLDS for i in rows.doc_id], dtype=np.int64)
-    return fit_chain(statistics(texts) if len(rows) else np.zeros((0, WIDTH - 1)), *present(texts), y, fold)
+    return fit_chain(dense, coded.dictionary, doc, coded.indices.to_numpy(zero_copy_only=False), y, fold)
 
 
 def score(docs: DataFrame, models: list[Logistic], chain=CHAIN) -> DataFrame:
