@@ -158,7 +158,7 @@ def without_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] =
     spark = docs.sparkSession
     df = documents(docs, *carry)
     total, parts = text_bytes(df), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batches, buckets = max(-(-total // batch_bytes), 4 * parts), max(-(-total // bucket_bytes), parts)
+    batches, buckets = max(-(-total // batch_bytes), parts), max(-(-total // bucket_bytes), parts)
     df = df.withColumn("b", F.pmod(F.xxhash64("rid", "doc_id"), F.lit(batches))).drop("rid")
     kept = [f for f in df.schema.fields if f.name not in ("text", "b")]
     rounds = ROUNDS if window >= 24 else 0
