@@ -139,9 +139,22 @@ class Words:
         self.distinct = coded.dictionary
         self.doc = np.repeat(np.arange(n), self.count)
 
+    def listed(self) -> list[bytes]:
+        """``distinct`` as a list; words hold no line feed, so one can part them."""
+        n = len(self.distinct)
+        if not n:
+            return []
+        size = np.diff(np.frombuffer(self.distinct.buffers()[1], np.int64)[self.distinct.offset : self.distinct.offset + n + 1])
+        at = int(np.frombuffer(self.distinct.buffers()[1], np.int64)[self.distinct.offset])
+        out = np.full(int(size.sum()) + n, 10, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[np.cumsum(size + 1) - 1] = False
+        out[inside] = np.frombuffer(self.distinct.buffers()[2], np.uint8)[at : at + int(size.sum())]
+        return out.tobytes().split(b"\n")[:-1]
+
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes a word, the halves of its XXH3-128."""
-        whole = b"".join(xxhash.xxh3_128_digest(w) for w in self.distinct.to_pylist())
+        whole = b"".join(xxhash.xxh3_128_digest(w) for w in self.listed())
         pairs = np.frombuffer(whole, dtype="<u8").reshape(-1, 2)
         return pairs[self.codes, 0].copy(), pairs[self.codes, 1].copy()
 

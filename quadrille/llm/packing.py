@@ -14,6 +14,7 @@ empty table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -25,22 +26,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import documents, small_batches, written
+from ._shared import Words, documents, small_batches, written
 
-#: Tokens' texts whose ids a Python worker keeps; a full cache is emptied.
-CACHE = 600_000
+#: Chunks and words whose ids a Python worker keeps; a full cache is emptied.
+CACHE = 900_000
 #: Texts of these characters alone are lower-cased and cut into words here: none of them composes with another,
 #: lower-cases by context or into several, or is of another class to one library than to the other.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]*")
-#: The words of a lower-cased text, as the tokenizer's pre-tokenizer finds them.
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The words of a lower-cased text, as the tokenizer's pre-tokenizer finds them, and line feeds.
+WORD = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class WordTokenizer:
-    """Ids of whole texts from the ids of their words, of which each distinct one is tokenized once.
+    """Ids of whole texts from the ids of their chunks, which blanks delimit, and of the chunks' words.
 
-    Texts with characters outside ``PLAIN`` are cut at blanks and line feeds only, which the pre-tokenizer
-    never joins across, and the tokenizer does the rest.
+    Each distinct chunk of a batch is looked up once and each distinct word is tokenized once. Chunks with
+    characters outside ``PLAIN`` go to the tokenizer as they are.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -48,52 +49,77 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache
+        # the same model for words that are cut and lower-cased already
+        plan = json.loads(self.tokenizer.to_str())
+        plan |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, plan["pre_tokenizer"]["pretokenizers"][-1]]}}
+        self.model = Tokenizer.from_str(json.dumps(plan))
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}  # of words
-        self.odd: dict[str, int] = {}  # of chunks of odd texts
-        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def _learn(self, known: dict[str, int], texts: list[str]) -> None:
-        """Adds the ids of ``texts``. Words are tokenized in one go, as each ends with an id that closes a word."""
-        ids, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if known is self.code:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        self.words, self.chunks = Ragged(), Ragged()
+        self.words.add(["\n"], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Adds the ids of chunks: of plain ones by their words, a word at a time; of others as they are."""
+        text = b"\n".join(new).decode("utf-8", "surrogatepass")
+        if PLAIN.fullmatch(text) is None or "<|" in text:
+            texts = [(c, c.decode("utf-8", "surrogatepass")) for c in new]
+            odd = [(c, t) for c, t in texts if PLAIN.fullmatch(t) is None or "<|" in t]
+            each = [x.ids for x in self.tokenizer.encode_batch_fast([t for _, t in odd], add_special_tokens=False)]
+            self.chunks.add([c for c, _ in odd], np.array([i for x in each for i in x], dtype=np.uint32), np.array([len(x) for x in each], np.int64))
+            new = [c for c in new if c not in self.chunks.code]
+            text = b"\n".join(new).decode()
+        if not new:
+            return
+        words = WORD.findall(text.lower())  # chunks hold no line feed, so one stands between two chunks
+        if learn := list(set(words) - self.words.code.keys()):
+            # words are tokenized in one go, as each ends with an id that closes a word
+            ids = np.array(self.model.encode_batch_fast([" ".join(learn)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             sizes = np.diff(np.flatnonzero(self.closes[ids]) + 1, prepend=0)
-        if len(sizes) != len(texts):
-            each = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            ids, sizes = np.array([i for x in each for i in x], dtype=np.uint32), np.array([len(x) for x in each], np.int64)
-        known.update(zip(texts, range(len(self.size), len(self.size) + len(texts)), strict=True))
-        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, sizes])
-
-    def encode(self, texts: list[str], last: int) -> tuple[np.ndarray, np.ndarray]:
+            if len(sizes) != len(learn):
+                raise ValueError("this tokenizer's words do not end with closing ids")
+            self.words.add(learn, ids, sizes)
+        codes = np.fromiter(map(self.words.code.__getitem__, words), dtype=np.int64, count=len(words))
+        chunk = np.cumsum(codes == 0)
+        self.chunks.add(new, self.words.take(codes), np.bincount(chunk, weights=self.words.size[codes], minlength=len(new)).astype(np.int64))
+
+    def encode(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one array, each text's followed by ``last``; and the number of ids of each text."""
-        if len(self.size) > self.most:
+        if len(self.chunks.size) + len(self.words.size) > self.most:
             self.clear()
-        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        words = [WORD.findall(t.lower()) if p else t.replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
-        for known, kind in ((self.code, True), (self.odd, False)):
-            if new := set(chain.from_iterable(own for own, p in zip(words, plain, strict=True) if p is kind)) - known.keys():
-                self._learn(known, list(new))
-        start = np.cumsum(self.size) - self.size
-        looks = [(self.code if p else self.odd).__getitem__ for p in plain]
-        codes = np.fromiter(chain.from_iterable(map(map, looks, words)), dtype=np.int64)
-        doc = np.repeat(np.arange(len(texts)), [len(own) for own in words])
-        size = self.size[codes]
-        count = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64) + 1
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[codes] - (ends - size), size)
+        found = Words(texts)
+        distinct = found.listed()
+        if new := [c for c in distinct if c not in self.chunks.code]:
+            self._learn(new)
+        codes = np.fromiter(map(self.chunks.code.__getitem__, distinct), dtype=np.int64, count=len(distinct))[found.codes]
+        count = np.bincount(found.doc, weights=self.chunks.size[codes], minlength=len(texts)).astype(np.int64) + 1
         out = np.full(int(count.sum()), last, dtype=np.uint32)
         keep = np.ones(len(out), dtype=bool)
         keep[np.cumsum(count) - 1] = False
-        out[keep] = self.flat[at]
+        out[keep] = self.chunks.take(codes)
         return out, count
 
 
+class Ragged:
+    """Id sequences by key, end to end in one array."""
+
+    def __init__(self):
+        self.code: dict = {}
+        self.flat, self.size, self.start = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.code.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
+        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, sizes])
+        self.start = np.cumsum(self.size) - self.size
+
+    def take(self, codes: np.ndarray) -> np.ndarray:
+        size = self.size[codes]
+        return self.flat[np.arange(size.sum()) + np.repeat(self.start[codes] - (np.cumsum(size) - size), size)]
+
+
 def tokenized(docs: DataFrame, path: str, last: int) -> DataFrame:
     """part, local (offset inside the partition), doc_id, tokens, ids (little-endian uint16 or uint32)."""
     schema = "part int, local long, doc_id long, tokens long, wide boolean, ids binary"
@@ -101,7 +127,7 @@ def tokenized(docs: DataFrame, path: str, last: int) -> DataFrame:
     def run(batches):
         tokenizer, part, local = WordTokenizer(path), TaskContext.get().partitionId(), 0
         for batch in small_batches(batches, limit=2 << 20):
-            ids, count = tokenizer.encode(batch.column("text").to_pylist(), last)
+            ids, count = tokenizer.encode(batch.column("text"), last)
             ends = np.cumsum(count)
             wide = bool(ids.max() >= 1 << 16)
             data = ids.astype("<u4" if wide else "<u2").tobytes()

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,7 +21,7 @@ def ids():
 
 
 def test_chunks_give_the_ids_of_whole_texts(ids):
-    found, count = WordTokenizer(default_tokenizer(), cache=3).encode([x or "" for x in TEXTS], 2)
+    found, count = WordTokenizer(default_tokenizer(), cache=3).encode(pa.array([x or "" for x in TEXTS]), 2)
     assert [list(x) for x in np.split(found, np.cumsum(count)[:-1])] == ids
 
 
@@ -48,12 +49,12 @@ def test_pieces_cover_every_id_once_and_windows_are_full(spark, ids, length):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.one_of(st.text(st.sampled_from("aAbsT'd\u2019 .,!_-09éßÉſıİ²½ªµŉ\u0301\x85\x1c\xa0\t\nΣσ日<|>"), max_size=30), st.text(max_size=20)), max_size=5))
+@given(st.lists(st.one_of(st.text(st.sampled_from("aAbsT'd\u2019 .,!_-09éßÉſıİ²½ªµŉ\u0301<|endoftext|>\x85\x0b\x0c\x1c\xa0\t\nΣσ日<|>"), max_size=30), st.text(max_size=20)), max_size=5))
 def test_any_text_gives_the_tokenizers_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    found, count = OWN.encode(texts, 2)
+    found, count = OWN.encode(pa.array(texts, pa.string()), 2)
     assert [list(x) for x in np.split(found, np.cumsum(count)[:-1])][: len(texts)] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
 
 
