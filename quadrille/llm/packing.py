@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._shared import Words, documents, small_batches, written
 
 #: Chunks and words whose ids a Python worker keeps; a full cache is emptied.
-CACHE = 900_000
+CACHE = 700_000
 #: Texts of these characters alone are lower-cased and cut into words here: none of them composes with another,
 #: lower-cases by context or into several, or is of another class to one library than to the other.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]*")
