@@ -1 +1,177 @@
-"""Registered queries of the binary formats and geometry algorithms; most have no SQL form."""
+"""Registered queries of the geometry algorithms and binary formats. Most have no SQL form; tests hold them against
+fixtures. Those that have one compare what can be counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import fragments as frag
+from ..sinks import tilesets
+from ..sources import features as source
+from . import queries as q
+
+BOUNDS = (0.0, 0.0, 110000.0, 60.0)
+
+
+def lines(spark, d) -> DataFrame:
+    """Feature rows of orders as polylines of their line items."""
+    v = q.vertices(spark, d).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("v")).where("size(v) >= 2")
+    part = F.transform("v", lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))
+    return v.select(F.col("id").alias("fid"), F.lit(2).cast("tinyint").alias("kind"), F.array(part).alias("parts"), F.create_map(F.lit("id"), F.col("id").cast("string")).alias("tags"))
+
+
+def areas(spark, d) -> DataFrame:
+    df = lines(spark, d).where(F.size(F.col("parts")[0]) >= 3)
+    return df.withColumn("kind", F.lit(3).cast("tinyint"))
+
+
+def solids(spark, d) -> DataFrame:
+    """A triangle a part in the unit cube."""
+    p = q.Tables(spark, d).part
+    at = [(F.col("p_partkey") * m % 97) / 100.0 for m in (1, 7, 31)]
+    corner = lambda dx, dy: F.array(at[0] + dx, at[1] + dy, at[2])
+    ring = F.array(corner(0.0, 0.0), corner(0.02, 0.0), corner(0.0, 0.02))
+    return p.select(F.col("p_partkey").alias("fid"), F.lit(5).cast("tinyint").alias("kind"), F.array(ring).alias("parts"), F.create_map(F.lit("brand"), F.col("p_brand")).alias("tags"))
+
+
+_N = "(SELECT DISTINCT l_orderkey FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) WHERE n >= {least})"
+
+
+@q.query(f"SELECT count(*) AS features FROM {_N.format(least=2)}")
+def clip_polyline(spark, d):
+    """Polylines clipped over three zooms; every feature has fragments."""
+    return frag.fragments(lines(spark, d), BOUNDS, 2).agg(F.count_distinct("feature_id").alias("features"))
+
+
+@q.query()
+def clip_polygon(spark, d):
+    found = frag.fragments(areas(spark, d), BOUNDS, 2)
+    return found.groupBy("zoom", "tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("parts")).alias("rings"))
+
+
+@q.query()
+def dp_simplify(spark, d):
+    found = frag.fragments(lines(spark, d), BOUNDS, 3, extent=16)
+    return found.groupBy("zoom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p))).alias("vertices"))
+
+
+@q.query("""WITH c AS (SELECT p_partkey AS fid, (p_partkey * 1 % 97) / 100.0 AS x, (p_partkey * 7 % 97) / 100.0 AS y FROM part), z AS (SELECT range AS zoom, CAST(pow(2, range) AS BIGINT) AS n FROM range(0, 3))
+SELECT CAST(zoom AS INT) AS zoom, sum((least(n - 1, floor((x + 0.02) * n)) - floor(x * n) + 1) * (least(n - 1, floor((y + 0.02) * n)) - floor(y * n) + 1))::BIGINT AS faces FROM c, z GROUP BY zoom""")
+def octree_faces(spark, d):
+    """Whole faces in every octree tile they overlap, by arithmetic alone."""
+    df = solids(spark, d).select("fid", F.col("parts")[0].alias("vertices"), F.array(F.lit(0), F.lit(1), F.lit(2)).alias("faces"))
+    return frag.face_tiles(df, (0.0, 0.0, 0.0, 1.0, 1.0, 1.0), 2).groupBy("zoom").agg(F.count(F.lit(1)).alias("faces"))
+
+
+@q.query()
+def tile_table(spark, d):
+    found = frag.encoded(frag.fragments(lines(spark, d), BOUNDS, 2), BOUNDS)
+    return found.groupBy("zoom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("positions")).alias("bytes"), F.sum(F.octet_length("indices")).alias("index_bytes"))
+
+
+@q.query()
+def mvt_roundtrip(spark, d):
+    """Vector tiles made and counted."""
+    files = tilesets.mvt_tiles(frag.fragments(areas(spark, d), BOUNDS, 2), "areas")
+    return files.select("path", F.octet_length("content").alias("bytes"))
+
+
+@q.query()
+def pbf3_roundtrip(spark, d):
+    files = tilesets.pbf3_tiles(frag.fragments(solids(spark, d), (0.0, 0.0, 0.0, 1.0, 1.0, 1.0), 1), "solids")
+    return files.select("path", F.octet_length("content").alias("bytes"))
+
+
+@q.query()
+def glb_roundtrip(spark, d):
+    box = (0.0, 0.0, 0.0, 1.0, 1.0, 1.0)
+    return tilesets.glb_tiles(frag.fragments(solids(spark, d), box, 1), box).select("path", F.octet_length("content").alias("bytes"))
+
+
+@q.query()
+def precomputed_meshes(spark, d):
+    box = (0.0, 0.0, 0.0, 1.0, 1.0, 1.0)
+    return tilesets.precomputed_meshes(frag.fragments(solids(spark, d), box, 1), box).select("path", F.octet_length("content").alias("bytes"))
+
+
+@q.query()
+def feature_centric_pbf3(spark, d):
+    files, _ = tilesets.feature_pbf3(frag.fragments(solids(spark, d), (0.0, 0.0, 0.0, 1.0, 1.0, 1.0), 1), 1)
+    return files.select("path", F.octet_length("content").alias("bytes"))
+
+
+def trees(spark, d) -> DataFrame:
+    """Orders as neuron trees: item k hangs on item k // 2."""
+    v = q.vertices(spark, d)
+    return v.select(F.col("id").cast("string").alias("neuron"), F.col("pos").alias("id"), (F.col("pos") % 3).cast("int").alias("type"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("pos").cast("double").alias("z"), F.lit(1.0).alias("r"), F.when(F.col("pos") == 1, -1).otherwise(F.floor(F.col("pos") / 2)).cast("int").alias("parent"))
+
+
+@q.query()
+def skeleton_encode(spark, d):
+    return tilesets.skeletons(trees(spark, d)).select("path", F.octet_length("content").alias("bytes"))
+
+
+@q.query("SELECT CAST(l_orderkey AS VARCHAR) AS neuron, CAST(count(*) AS BIGINT) AS nodes FROM lineitem GROUP BY l_orderkey")
+def morphology_size(spark, d):
+    return frag.morphology(trees(spark, d)).select("neuron", "nodes")
+
+
+@q.query()
+def tree_paths(spark, d):
+    return frag.tree_paths(trees(spark, d)).select("neuron", "path", "type", F.size("points").alias("vertices"))
+
+
+@q.query()
+def tube_meshes(spark, d):
+    few = q.Tables(spark, d).customer.select(F.col("c_custkey").cast("string").alias("neuron"))
+    found = frag.tubes(frag.tree_paths(trees(spark, d).join(few, "neuron", "left_semi")))
+    return found.groupBy("name").agg(F.count(F.lit(1)).alias("tubes"), F.sum(F.octet_length("positions") / 12).alias("vertices"))
+
+
+@q.query()
+def mesh_levels(spark, d):
+    """Quadric levels of detail of icospheres, a mesh a supplier."""
+    import numpy as np
+
+    from ..functions.geometry import icosphere
+
+    v, f = icosphere(np.zeros(3), 1.0, 2)
+    s = q.Tables(spark, d).supplier
+    meshes = s.select(F.col("s_name").alias("name"), F.lit(v.astype("<f4").tobytes()).alias("positions"), F.lit(f.astype("<u4").tobytes()).alias("indices"), F.create_map(F.lit("n"), F.col("s_name")).alias("tags"))
+    out = frag.simplified_meshes(meshes, 2, base=1)
+    return out.select("name", "zoom", (F.octet_length("indices") / 12).cast("long").alias("faces"))
+
+
+@q.query()
+def random_polygons(spark, d):
+    from ..sources.tables import random_polygons
+
+    return random_polygons(spark, 20, 500.0).select("fid", F.size(F.col("parts")[0]).alias("vertices"))
+
+
+@q.query()
+def geojson_scan(spark, d):
+    """Orders written as GeoJSON text and read by the geometry parser."""
+    g = F.to_json(F.struct(F.lit("LineString").alias("type"), F.col("parts")[0].alias("coordinates")))
+    rows = lines(spark, d).select("fid", g.alias("geometry"))
+    return source._parsed(rows, ["fid"]).select("fid", "kind", F.size(F.col("parts")[0]).alias("vertices"))
+
+
+@q.query()
+def sharded_container(spark, d):
+    rows = q.Tables(spark, d).customer.select(F.col("c_custkey").alias("key"), F.col("c_name").cast("binary").alias("content"))
+    return tilesets.sharded(rows, "key", 2, 3).select("path", F.octet_length("content").alias("bytes"))
+
+
+@q.query()
+def overview_png(spark, d):
+    """A raster pyramid of the point density of line items."""
+    p = q.points(spark, d).select(F.floor(F.col("nx") * 31.999).cast("int").alias("x"), F.floor(F.col("ny") * 31.999).cast("int").alias("y"))
+    n = p.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("v"))
+    full = spark.range(32 * 32).select((F.col("id") % 32).cast("int").alias("x"), F.floor(F.col("id") / 32).cast("int").alias("y")).join(n, ["x", "y"], "left").na.fill(0.0)
+    own = full.groupBy(F.floor(F.col("x") / 8).alias("tile_x"), F.floor(F.col("y") / 8).alias("tile_y")).agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
+    out = tilesets.raster_pyramid(own.select("tile_x", "tile_y", F.transform("p", lambda s: s["v"].cast("float")).alias("pixels")), 2, 8)
+    return out.select("zoom", "tile_x", "tile_y", F.octet_length("content").alias("bytes"))
+
+
