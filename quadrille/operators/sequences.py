@@ -19,6 +19,17 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "fid") -> DataFrame:
     return own.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_base") + F.col("_rank")).cast("long")).drop("_part", "_rank", "_base")
 
 
+def unique_ids(df: DataFrame, ident: str, order: list[str], name: str = "uid") -> DataFrame:
+    """Whole-number ids without collisions: the first row of an id keeps it, other rows and nulls get new ones above
+    the greatest."""
+    w = Window.partitionBy(ident).orderBy(*order)
+    df = df.withColumn("_keeps", F.col(ident).isNotNull() & (F.row_number().over(w) == 1))
+    top = df.agg(F.coalesce(F.max(ident), F.lit(-1)).alias("_top"))
+    new = dense_ids(df.where("not _keeps"), order, "_new").crossJoin(F.broadcast(top))
+    own = df.where("_keeps").withColumn(name, F.col(ident).cast("long"))
+    return own.unionByName(new.withColumn(name, F.col("_top") + 1 + F.col("_new")).drop("_top", "_new")).drop("_keeps")
+
+
 def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by a total order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")

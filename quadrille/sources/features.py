@@ -259,7 +259,11 @@ def mesh_bounds(df: DataFrame) -> DataFrame:
 
 def geoparquet(spark: SparkSession, path: str, column: str = "geometry") -> DataFrame:
     """Feature rows of a (Geo)Parquet table with WKB; the other columns become tags."""
-    df = spark.read.parquet(path)
+    return tabled_features(spark.read.parquet(path), column)
+
+
+def tabled_features(df: DataFrame, column: str = "geometry") -> DataFrame:
+    """Feature rows of a table with a WKB column, in the order of its id (or first other) column."""
     rest = [c for c in df.columns if c not in (column, "bbox")]
     tags = F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
     order = [c for c in ("id",) if c in df.columns] or rest[:1]

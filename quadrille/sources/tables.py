@@ -143,3 +143,26 @@ def random_3d(spark: SparkSession, n: int, kind: str = "tin", seed: int = 1) ->
         "tin": (5, F.array(*[F.array(*[vertex(3 * t + k) for k in range(3)]) for t in range(4)])),
     }[kind]
     return spark.range(n).select(ident.alias("fid"), F.lit(code).cast("tinyint").alias("kind"), parts.alias("parts"), F.create_map(F.lit("i"), ident.cast("string")).alias("tags"))
+
+
+def arrow_features(spark: SparkSession, table, geometry_column: str = "geometry") -> DataFrame:
+    """Feature rows of an Arrow table with a WKB column; the other columns become tags. Nothing is written: the
+    table is small enough to be in memory already."""
+    from .features import tabled_features
+
+    return tabled_features(spark.createDataFrame(table), geometry_column)
+
+
+def example_files(spark: SparkSession, folder: str, suffix: str = ".json") -> list[str]:
+    """Names of the files in a folder that end in ``suffix``, in order."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path")
+    return sorted(r["path"].rsplit("/", 1)[-1] for r in files.collect())
+
+
+#: Where a morphology image may lie in an output folder, the best first (fixed values).
+MORPHOLOGY = ("morphology_focus/ch0000_dapi.ome.tif", "morphology_focus/morphology_focus_0000.ome.tif", "morphology_focus.ome.tif")
+
+
+def morphology_image(names: list[str]) -> str | None:
+    """The first known place of a morphology image among a folder's file names."""
+    return next((m for m in MORPHOLOGY if m in names), None)
