@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import clipping, geometry
 from ..sources.features import PARTS
 
 KEYS = ["tile_x", "tile_y", "tile_d"]
@@ -29,29 +29,46 @@ def fragments(features: DataFrame, bounds: tuple[float, ...], top: int, low: int
     span[span == 0] = 1
     keys = KEYS[:axes]
 
-    def detailed(kind: int, parts: list[np.ndarray], zoom: int) -> list[np.ndarray]:
-        if not simplify or zoom >= top:
-            return parts
-        if kind == geometry.LINE:
-            step = 2.0**-zoom / extent
-            return [geometry.simplified_3d(p, step) if axes == 3 else geometry.simplified(p, step) for p in parts]
-        if kind == geometry.POLYGON and axes == 2 and polygon_tolerances and zoom in polygon_tolerances:
-            return geometry.simplified_rings(parts, polygon_tolerances[zoom])
-        return parts
+    def detailed(kind: int, v: np.ndarray, off: np.ndarray, zoom: int) -> tuple[np.ndarray, np.ndarray]:
+        lines = kind == geometry.LINE
+        rings = kind == geometry.POLYGON and axes == 2 and bool(polygon_tolerances) and zoom in polygon_tolerances
+        least = 2 if lines else 4
+        if not simplify or zoom >= top or not (lines or rings) or not (np.diff(off) > least).any():
+            return v, off
+        step = 2.0**-zoom / extent if lines else polygon_tolerances[zoom]
+        segment, size = lines and axes == 3, np.diff(off)
+        keep = np.ones(len(v), bool)
+        if least == 2:  # of three vertices, the middle one's distance decides; all such parts at once
+            i = off[:-1][size == 3]
+            a, p, b = v[i], v[i + 1], v[i + 2]
+            d, e = b - a, p - a
+            n = (d * d).sum(axis=1)
+            t = (e * d).sum(axis=1) / np.where(n == 0, 1, n)
+            t = np.where(n == 0, 0, np.clip(t, 0, 1) if segment else t)
+            keep[i + 1] = ((e - t[:, None] * d) ** 2).sum(axis=1) > step * step
+        for i in np.flatnonzero(size > max(least, 3 if least == 2 else least)).tolist():
+            keep[off[i] : off[i + 1]] = geometry.kept(v[off[i] : off[i + 1]], step, least, segment)
+        return v[keep], np.concatenate([[0], np.cumsum(np.add.reduceat(keep, off[:-1], dtype=np.int64))])
 
     def run(batches):
         for batch in batches:
-            rows, index = [], []
-            for i, (kind, parts) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("parts").to_pylist(), strict=True)):
-                own = [(np.array(p, float)[:, :axes] - start) / span for p in parts if p]
-                for zoom, tile, found in geometry.descend(kind, own, top, low, buffer, axes):
-                    found = detailed(kind, found, zoom)
-                    rows.append((kind, zoom, *tile, [p.tolist() for p in found]))
-                    index.append(i)
-            own = batch.take(pa.array(index, pa.int64()))
-            kinds = [pa.int8(), pa.int32(), *[pa.int64()] * axes, pa.list_(pa.list_(pa.list_(pa.float64())))]
-            arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([own.column("fid"), *arrays, own.column("tags")], names=["feature_id", "geom_type", "zoom", *keys, "parts", "tags"])
+            v, off, row = clipping.flat(batch.column("parts"), axes)
+            v, kinds = (v - start) / span, batch.column("kind").to_numpy(zero_copy_only=False)
+            for kind in np.unique(kinds[row]):
+                own = np.flatnonzero(kinds[row] == kind)
+                # faces of one kind of surface are clipped alike, so kinds are worked through one by one
+                for zoom, w, o, feature, tile in clipping.descend(int(kind), *clipping.take(v, off, own), row[own], top, low, buffer):
+                    if not len(feature):
+                        continue
+                    w, o = detailed(int(kind), w, o, zoom)
+                    order = np.lexsort((np.arange(len(feature)), *tile.T[::-1], feature))
+                    w, o = clipping.take(w, o, order)
+                    feature, tile = feature[order], tile[order]
+                    new = np.append(True, (feature[1:] != feature[:-1]) | (tile[1:] != tile[:-1]).any(axis=1))
+                    at = np.flatnonzero(new)
+                    table = batch.take(pa.array(feature[at]))
+                    arrays = [table.column("fid"), table.column("kind"), pa.array(np.full(len(at), zoom, np.int32)), *[pa.array(tile[at, k]) for k in range(axes)], clipping.nested(w, o, np.append(at, len(feature))), table.column("tags")]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["feature_id", "geom_type", "zoom", *keys, "parts", "tags"])
 
     schema = "feature_id long, geom_type tinyint, zoom int, " + "".join(f"{k} long, " for k in keys) + f"parts {PARTS}, tags map<string,string>"
     out = features.select("fid", "kind", "parts", "tags").mapInArrow(run, schema)
