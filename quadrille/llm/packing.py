@@ -18,7 +18,7 @@ import json
 import os
 import re
 import zlib
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import Words, documents, small_batches, written
+from ._shared import Ragged, Words, documents, small_batches, written
 
 #: Chunks and words whose ids a Python worker keeps; a full cache is emptied.
-CACHE = 700_000
+CACHE = 500_000
 #: Texts of these characters alone are lower-cased and cut into words here: none of them composes with another,
 #: lower-cases by context or into several, or is of another class to one library than to the other.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]*")
@@ -82,7 +82,7 @@ class WordTokenizer:
             if len(sizes) != len(learn):
                 raise ValueError("this tokenizer's words do not end with closing ids")
             self.words.add(learn, ids, sizes)
-        codes = np.fromiter(map(self.words.code.__getitem__, words), dtype=np.int64, count=len(words))
+        codes = self.words.codes(words)
         chunk = np.cumsum(codes == 0)
         self.chunks.add(new, self.words.take(codes), np.bincount(chunk, weights=self.words.size[codes], minlength=len(new)).astype(np.int64))
 
@@ -94,7 +94,7 @@ class WordTokenizer:
         distinct = found.listed()
         if new := [c for c in distinct if c not in self.chunks.code]:
             self._learn(new)
-        codes = np.fromiter(map(self.chunks.code.__getitem__, distinct), dtype=np.int64, count=len(distinct))[found.codes]
+        codes = self.chunks.codes(distinct)[found.codes]
         count = np.bincount(found.doc, weights=self.chunks.size[codes], minlength=len(texts)).astype(np.int64) + 1
         out = np.full(int(count.sum()), last, dtype=np.uint32)
         keep = np.ones(len(out), dtype=bool)
@@ -103,21 +103,10 @@ class WordTokenizer:
         return out, count
 
 
-class Ragged:
-    """Id sequences by key, end to end in one array."""
-
-    def __init__(self):
-        self.code: dict = {}
-        self.flat, self.size, self.start = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.code.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
-        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, sizes])
-        self.start = np.cumsum(self.size) - self.size
-
-    def take(self, codes: np.ndarray) -> np.ndarray:
-        size = self.size[codes]
-        return self.flat[np.arange(size.sum()) + np.repeat(self.start[codes] - (np.cumsum(size) - size), size)]
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a Python worker, whose cache stays warm from task to task."""
+    return WordTokenizer(path)
 
 
 def tokenized(docs: DataFrame, path: str, last: int) -> DataFrame:
@@ -125,8 +114,8 @@ def tokenized(docs: DataFrame, path: str, last: int) -> DataFrame:
     schema = "part int, local long, doc_id long, tokens long, wide boolean, ids binary"
 
     def run(batches):
-        tokenizer, part, local = WordTokenizer(path), TaskContext.get().partitionId(), 0
-        for batch in small_batches(batches, limit=2 << 20):
+        tokenizer, part, local = worker_tokenizer(path), TaskContext.get().partitionId(), 0
+        for batch in small_batches(batches, limit=4 << 20):
             ids, count = tokenizer.encode(batch.column("text"), last)
             ends = np.cumsum(count)
             wide = bool(ids.max() >= 1 << 16)
