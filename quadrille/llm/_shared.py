@@ -140,17 +140,17 @@ class Words:
         self.doc = np.repeat(np.arange(n), self.count)
 
     def listed(self) -> list[bytes]:
-        """``distinct`` as a list; words hold no line feed, so one can part them."""
+        """``distinct`` as a list; words hold no blank, so one can part them."""
         n = len(self.distinct)
         if not n:
             return []
         size = np.diff(np.frombuffer(self.distinct.buffers()[1], np.int64)[self.distinct.offset : self.distinct.offset + n + 1])
         at = int(np.frombuffer(self.distinct.buffers()[1], np.int64)[self.distinct.offset])
-        out = np.full(int(size.sum()) + n, 10, np.uint8)
+        out = np.full(int(size.sum()) + n, 32, np.uint8)
         inside = np.ones(len(out), bool)
         inside[np.cumsum(size + 1) - 1] = False
         out[inside] = np.frombuffer(self.distinct.buffers()[2], np.uint8)[at : at + int(size.sum())]
-        return out.tobytes().split(b"\n")[:-1]
+        return out.tobytes().split(b" ")[:-1]
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes a word, the halves of its XXH3-128."""
@@ -159,6 +159,26 @@ class Words:
         return pairs[self.codes, 0].copy(), pairs[self.codes, 1].copy()
 
 
+class Ragged:
+    """Arrays of numbers by key, end to end in one array."""
+
+    def __init__(self, kind: type = np.uint32):
+        self.code: dict = {}
+        self.flat, self.size, self.start = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: list, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.code.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
+        self.flat, self.size = np.concatenate([self.flat, values.astype(self.flat.dtype)]), np.concatenate([self.size, sizes])
+        self.start = np.cumsum(self.size) - self.size
+
+    def codes(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.code.__getitem__, keys), dtype=np.int64, count=len(keys))
+
+    def take(self, codes: np.ndarray) -> np.ndarray:
+        size = self.size[codes]
+        return self.flat[np.arange(size.sum()) + np.repeat(self.start[codes] - (np.cumsum(size) - size), size)]
+
+
 #: Odd multipliers of the polynomial hashes, modulo 2**64.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 

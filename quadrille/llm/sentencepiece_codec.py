@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's distinct segments (a run of blanks and the word behind it) that no cache has are concatenated and
-indexed by a suffix array. Every piece of the vocabulary is searched in it by halving, all pieces at once, which
+A batch's distinct segments (blanks and the letters behind them, or other characters) that no cache has are
+concatenated and indexed by a suffix array. Every piece of the vocabulary is searched in it by halving, all pieces at once, which
 gives its range of occurrences; each occurrence is an edge (from, to, id). Edges sorted by position are the only
 spans that a segment can be cut into, and relaxing them gives its ids:
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,19 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import documents, small_batches
+from ._shared import Ragged, Words, documents, small_batches
 
 BLANK = "▁"
-#: Segments whose ids a worker keeps; a full cache is emptied.
-CACHE = 500_000
+#: Segments and chunks whose ids a worker keeps; a full cache is emptied.
+CACHE = 900_000
 #: Segments up to this long are relaxed side by side; a batch of them has this many characters at most.
 SHORT, TOGETHER = 40, 400_000
+SPACE = np.arange(256) == 32
 LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 
 
 def suffix_array(points: np.ndarray, depth: int) -> np.ndarray:
     """Start positions in the order of their suffixes' first ``depth`` values, by prefix doubling."""
-    order = np.argsort(points, kind="stable")
+    order = np.argsort(points)
     rank = np.zeros(len(points), np.int64)
     rank[order] = np.cumsum(np.concatenate([[0], points[order][1:] != points[order][:-1]]))
     k = 1
@@ -49,7 +51,7 @@ def suffix_array(points: np.ndarray, depth: int) -> np.ndarray:
         second = np.zeros(len(points), np.int64)
         second[:-k] = rank[k:] + 1
         key = rank * (len(points) + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
         k *= 2
         if rank[order[-1]] == len(points) - 1:
@@ -82,6 +84,11 @@ class Vocabulary:
             raise ValueError("a piece has a blank inside")
         if any(model.decode(model.encode(x)) != x for x in (" x  ", "ﬁ ①\t\n", "E\u0301")):
             raise ValueError("the model's normalisation isn't the identity with a dummy prefix")
+        # what each id decodes to, and whether it starts with the blank that is taken off a text's front
+        self.raw = Ragged(np.uint8)
+        texts = [b"" if i in self.control else bytes([self.value[i]]) if i in self.value else " ⁇ ".encode() if i == self.unknown else self.pieces[i].replace(BLANK, " ").encode() for i in range(n)]
+        self.raw.add(list(range(n)), np.frombuffer(b"".join(texts), np.uint8), np.array([len(x) for x in texts], np.int64))
+        self.dummy = np.array([x[:1] == BLANK for x in self.pieces])
         self.bpe = bool((self.score[self.ids] == np.rint(self.score[self.ids])).all())  # ranks; unigram scores are log likelihoods
         feed = "" if any("\n" in self.pieces[i] for i in plain) else "\n"  # a cut at a line feed splits no piece
         parts = f"[^{BLANK}{feed}]+"
@@ -114,7 +121,7 @@ class Vocabulary:
         count = bounds[1] - bounds[0]
         which = np.repeat(np.arange(len(self.ids)), count)
         at = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[0], count)]
-        by = np.argsort(at, kind="stable")
+        by = np.argsort(at)
         return at[by], at[by] + self.length[which[by]], self.ids[which[by]]
 
 
@@ -126,8 +133,7 @@ class Codec:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.segments, self.chunks = Ragged(np.int32), Ragged(np.int32)
 
     def _unmatched(self, char: str) -> list[int]:
         return [self.v.byte[b] for b in char.encode("utf-8", "surrogatepass")] if self.v.byte else [self.v.unknown]
@@ -257,45 +263,67 @@ class Codec:
         self._keep(segments, np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64))
 
     def _keep(self, segments: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.code.update(zip(segments, range(len(self.code), len(self.code) + len(segments)), strict=True))
-        self.flat, self.size = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.size, sizes])
+        self.segments.add(segments, ids, sizes)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.code) > self.most:
-            self.clear()
-        cut = [self.v.segments.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = set(chain.from_iterable(cut)) - self.code.keys()
-        short = [x for x in new if len(x) <= SHORT and "\0" not in x]
+    def _learn_chunks(self, new: list[bytes], cut: list[list[str]]) -> None:
+        """Adds the ids of chunks that are cut into segments."""
+        fresh = set(chain.from_iterable(cut)) - self.segments.code.keys()
+        short = [x for x in fresh if len(x) <= SHORT and "\0" not in x]
         step = max(1, TOGETHER * len(short) // max(1, sum(map(len, short)) + len(short)))
         for i in range(0, len(short), step):
             self._learn(short[i : i + step])
-        if rest := [x for x in new if len(x) > SHORT or "\0" in x]:
+        if rest := [x for x in fresh if len(x) > SHORT or "\0" in x]:
             self._learn(rest)
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
-        size = self.size[codes]
-        ends = np.cumsum(size)
-        begin = (np.cumsum(self.size) - self.size)[codes]
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([len(x) for x in cut], dtype=np.int64)]
-        return np.split(ids, bounds[:-1]) if texts else []
-
-    def decode(self, ids: np.ndarray) -> str:
-        pieces, value = self.v.pieces, self.v.value
-        if not value.keys() & set(np.unique(ids).tolist()):
-            out = "".join([pieces[i] for i in ids.tolist()])
-        else:
-            parts, run = [], bytearray()
-            for i in ids.tolist():
-                if i in value:
-                    run.append(value[i])
-                    continue
-                if run:
-                    parts.append(run.decode("utf-8", "replace"))
-                    run = bytearray()
-                if i not in self.v.control:
-                    parts.append(pieces[i] if i != self.v.unknown else " ⁇ ")
-            out = "".join(parts) + run.decode("utf-8", "replace")
-        return out.replace(BLANK, " ")[out[:1] == BLANK :]
+        codes = self.segments.codes(list(chain.from_iterable(cut)))
+        chunk = np.repeat(np.arange(len(new)), [len(x) for x in cut])
+        self.chunks.add(new, self.segments.take(codes), np.bincount(chunk, weights=self.segments.size[codes], minlength=len(new)).astype(np.int64))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as one array, and each text's number of ids.
+
+        Texts are cut into chunks that start with a blank or follow a line feed; where two blanks meet, which belong
+        to one segment, the text is a chunk of its own.
+        """
+        if len(self.segments.size) + len(self.chunks.size) > self.most:
+            self.clear()
+        odd = [i for i, t in enumerate(texts) if "  " in t or t[:1] == " " or BLANK in t]
+        known = np.ones(len(texts), bool)
+        known[odd] = False
+        plain = [f"{BLANK}{t.replace(' ', f' {BLANK}')}".replace("\n", " \n ") if t and k else "" for t, k in zip(texts, known, strict=True)]
+        found = Words(pa.array(plain, pa.large_string()), SPACE)
+        distinct = found.listed()
+        if new := [c for c in distinct if c not in self.chunks.code]:
+            self._learn_chunks(new, [self.v.segments.findall(c.decode("utf-8", "surrogatepass")) for c in new])
+        codes = self.chunks.codes(distinct)[found.codes]
+        count = np.bincount(found.doc, weights=self.chunks.size[codes], minlength=len(texts)).astype(np.int64)
+        ids = self.chunks.take(codes)
+        if not odd:
+            return ids, count
+        cut = [self.v.segments.findall(BLANK + texts[i].replace(" ", BLANK)) for i in odd]
+        own = Ragged(np.int32)
+        whole, self.chunks = self.chunks, own
+        self._learn_chunks([str(i) for i in range(len(odd))], cut)
+        self.chunks = whole
+        parts = np.split(ids, np.cumsum(count)[:-1])
+        for k, i in enumerate(odd):
+            parts[i] = own.take(np.array([k]))
+            count[i] = len(parts[i])
+        return np.concatenate(parts), count
+
+    def decode(self, ids: np.ndarray, count: np.ndarray) -> list[str]:
+        """The texts of sequences of ids that stand end to end."""
+        raw = self.v.raw.take(ids)
+        ends = np.concatenate([[0], np.cumsum(self.v.raw.size[ids])])[np.concatenate([[0], np.cumsum(count)])]
+        first = np.zeros(len(count), bool)
+        first[count > 0] = self.v.dummy[ids[(np.cumsum(count) - count)[count > 0]]]
+        whole = raw.tobytes()
+        return [whole[a + f : b].decode("utf-8", "replace") for a, b, f in zip(ends[:-1].tolist(), ends[1:].tolist(), first.tolist(), strict=True)]
+
+
+@lru_cache(maxsize=1)
+def worker_codec(path: str) -> Codec:
+    """One codec a Python worker, whose cache stays warm from task to task."""
+    return Codec(path)
 
 
 def codec(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
@@ -307,17 +335,20 @@ def codec(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     schema = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
 
     def run(batches):
-        own = Codec(path)
-        for batch in small_batches(batches, limit=2 << 20):
+        own = worker_codec(path)
+        for batch in small_batches(batches, limit=4 << 20):
             texts = batch.column("text").to_pylist()
-            ids = own.encode(texts)
+            ids, count = own.encode(texts)
+            raw, ends = memoryview(ids.astype("<u4").tobytes()), np.concatenate([[0], np.cumsum(count)])
             out = [
                 batch.column("doc_id"),
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)]),
+                pa.array(count),
+                pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64()),
+                pa.array([a == b for a, b in zip(own.decode(ids, count), texts, strict=True)], pa.bool_()),
             ]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=[x.split()[0] for x in schema.split(", ")])
+            if with_ids:
+                out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)))
+            yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
 
     return documents(docs).select("doc_id", "text").mapInArrow(run, schema)
 
