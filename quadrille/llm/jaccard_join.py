@@ -36,6 +36,8 @@ from .substring_dedup import joined
 
 NGRAM, THRESHOLD = 5, 0.8
 COORDINATES, RUNS, LEVELS, LEAF, BLOCK = 64, 6, 3, 64, 2048
+#: Places in which a large node is compared with its chosen class.
+SALTS = 16
 #: Share of equal minima that makes an edge, and that lets a class leave a large node.
 LIKE, SAME = 0.4, 0.75
 #: Ids of classes all of whose doc_ids are null start here.
@@ -166,7 +168,11 @@ def candidate_edges(nodes: DataFrame, runs: int = RUNS) -> DataFrame:
         chosen = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "node"), "node"))["node"].alias("b"))
         chosen = chosen.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("to")), "b")
         alike = F.expr(f"aggregate(zip_with(sketch, to, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {COORDINATES}")
-        seen = written(large.join(sketch, "node").join(chosen, "path").select("path", "node", "sketch", "b", alike.alias("alike")), "seen")
+        # a node's members meet its chosen class in SALTS places, so a hot node isn't one task's
+        salt = F.pmod(F.xxhash64("node", F.lit(4)), F.lit(SALTS)).alias("salt")
+        chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        seen = large.join(sketch, "node").select("path", "node", "sketch", salt).join(chosen, ["path", "salt"])
+        seen = written(seen.select("path", "node", "sketch", "b", alike.alias("alike")), "seen")
         edges.append(seen.where(F.col("alike") >= LIKE).select(F.col("node").alias("a"), "b"))
         rest = seen.where((F.col("alike") < SAME) & (F.col("node") != F.col("b")))
         left = rest.groupBy("path").agg(F.count(F.lit(1)).alias("left"))
@@ -210,15 +216,20 @@ def _linked(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"node": node, "links": total, "b": at[links.roots()[rank]]})
 
 
-def _pairs(rows: np.ndarray, h: np.ndarray, start: np.ndarray, size: np.ndarray, block: np.ndarray | None, threshold: float, step: int = 2048):
-    """Pairs (as two arrays) of ``rows`` with a similarity of at least ``threshold``; across blocks if given."""
+def _pairs(rows: np.ndarray, h: np.ndarray, start: np.ndarray, size: np.ndarray, block: np.ndarray | None, threshold: float, step: int = 1024):
+    """Pairs (as two arrays) of ``rows`` with a similarity of at least ``threshold``; across blocks if given.
+
+    Shared n-grams are counted by products of 0/1 matrices, ``step`` n-grams at a time; memory holds one count a pair
+    of the two blocks.
+    """
     rows = rows[size[rows] > 0]
     if len(rows) < 2:
         return
+    sides = [rows, rows] if block is None else [rows[block[rows] == k] for k in np.unique(block[rows])]
+    if len(sides) < 2:
+        return
     if len(rows) == 2:
         a, b = rows
-        if block is not None and block[a] == block[b]:
-            return
         both = len(np.intersect1d(h[start[a] : start[a] + size[a]], h[start[b] : start[b] + size[b]], assume_unique=True))
         if both * (1 + threshold) >= threshold * (size[a] + size[b]) - 1e-9:
             yield rows[:1], rows[1:]
@@ -229,27 +240,34 @@ def _pairs(rows: np.ndarray, h: np.ndarray, start: np.ndarray, size: np.ndarray,
     shared = many > 1
     number = np.cumsum(shared) - 1
     keep = shared[column]
-    own, column = own[keep], number[column[keep]]
+    own, column = rows[own[keep]], number[column[keep]]
     by = np.argsort(column, kind="stable")
     own, column = own[by], column[by]
-    both = np.zeros((len(rows), len(rows)), np.float32)
+    place = []  # where a row stands on either side, -1 if nowhere
+    for side in sides:
+        p = np.full(len(size), -1, np.int64)
+        p[side] = np.arange(len(side))
+        place.append(p)
+    both = np.zeros((len(sides[0]), len(sides[1])), np.float32)
     for low in range(0, int(shared.sum()), step):
         i, j = np.searchsorted(column, [low, low + step])
-        part = np.zeros((len(rows), step), np.float32)
-        part[own[i:j], column[i:j] - low] = 1
-        both += part @ part.T
-    n = size[rows]
-    for i in range(0, len(rows), 256):  # a few rows at a time, to bound memory
-        near = both[i : i + 256] * (1 + threshold) >= threshold * (n[i : i + 256, None] + n[None, :]) - 1e-6
+        parts = []
+        for side, p in zip(sides, place, strict=True):
+            to = p[own[i:j]]
+            part = np.zeros((len(side), step), np.float32)
+            part[to[to >= 0], column[i:j][to >= 0] - low] = 1
+            parts.append(part)
+        for k in range(0, len(both), 512):
+            both[k : k + 512] += parts[0][k : k + 512] @ parts[1].T
+    n, m = size[sides[0]], size[sides[1]]
+    for i in range(0, len(both), 256):  # a few rows at a time, to bound memory
+        near = both[i : i + 256].astype(np.float64) * (1 + threshold) >= threshold * (n[i : i + 256, None] + m[None, :]) - 1e-6
         a, b = np.nonzero(near)
         a += i
-        ok = a < b
-        a, b = rows[a[ok]], rows[b[ok]]
-        if block is not None:
-            ok = block[a] != block[b]
-            a, b = a[ok], b[ok]
+        if block is None:
+            a, b = a[a < b], b[a < b]
         if len(a):
-            yield a, b
+            yield sides[0][a], sides[1][b]
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, batch_bytes: int = 4 << 20) -> DataFrame:
