@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import jaccard_join, line_dedup, packing, quality, substring_dedup
-from quadrille.llm._shared import documents, pick, written
+from quadrille.llm._shared import documents, paths, pick, release, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CARRIED = ("lang", "source", "n_chars")
@@ -68,7 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage has written is deleted once the next one's result stands."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), paths()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, *[p for p in paths()[:-1] if p not in before])
     return docs

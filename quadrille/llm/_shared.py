@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 _own_dir: list[str] = []
+_made = threading.local()  # folders that a thread has made
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.paths = [*paths(), path]
+    return path
+
+
+def paths() -> list[str]:
+    """Folders that this thread has made in the shared folder and not released."""
+    return list(getattr(_made, "paths", []))
+
+
+def release(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders that nothing reads any more, wherever Spark's file systems have them."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made.paths = [p for p in paths() if p not in folders]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

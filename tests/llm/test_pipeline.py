@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as p
+from quadrille.llm._shared import paths
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "ze") for b in ("ne", "ru", "so") for c in ("ta", "ve", "zi")]
@@ -72,7 +73,9 @@ def test_each_stage_on_its_own_input(spark, folder):
         before = now
     pieces = p.STAGES[-1][1](spark, docs, d).collect()
     assert sorted({r.doc_id for r in pieces}) == sorted(r[0] for r in before)
+    had = paths()
     assert sorted((r.doc_id, r.start, r.length) for r in pieces) == sorted((r.doc_id, r.start, r.length) for r in p.run(spark, d).collect())
+    assert len(paths()) == len(had) + 1
 
 
 def test_empty_table(spark, folder, tmp_path):
