@@ -62,14 +62,14 @@ def stream_into_state(log: DataFrame, state_dir: str) -> DataFrame:
     return state.toDF("digest", "keep", "group_size")
 
 
-def verified(docs: DataFrame, state: DataFrame) -> DataFrame:
+def verified(docs: DataFrame) -> DataFrame:
     """Digests whose rows do not all have the same bytes, by comparing the full normalised texts of all hits.
 
-    The least and greatest text of a digest are combined before the shuffle; where they are equal, all are.
+    The least and greatest text of a digest are taken, and combined before the shuffle; where they are equal, all
+    are. A digest without a hit has one text. A group of a third of all rows sends one text a partition.
     """
-    hits = state.where("group_size > 1").select("digest")
     texts = documents(docs).select(normalised(F.col("text")).alias("norm")).withColumn("digest", F.sha2("norm", 256))
-    return texts.join(hits, "digest", "left_semi").groupBy("digest").agg((F.min("norm") == F.max("norm")).alias("same")).where("not same").select("digest")
+    return texts.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("differ")).where("differ").select("digest")
 
 
 def exact_dedup(docs: DataFrame, state_dir: str | None = None) -> DataFrame:
@@ -82,7 +82,7 @@ def exact_dedup(docs: DataFrame, state_dir: str | None = None) -> DataFrame:
     state_dir = state_dir or new_path(spark, "exact-dedup")
     log = written(digest_log(docs), "digests")
     state = written(stream_into_state(log, state_dir), "digest-state")
-    clashes = written(verified(docs, state), "digest-clashes")
+    clashes = written(verified(docs), "digest-clashes")
     out = log.join(state, "digest").select("*", F.lit(None).cast("string").alias("norm"))
     if not clashes.isEmpty():  # different bytes with one SHA-256: told apart by the whole text
         texts = documents(docs).withColumn("norm", normalised(F.col("text"))).withColumn("digest", F.sha2("norm", 256))
