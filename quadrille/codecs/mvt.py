@@ -6,6 +6,8 @@ their repeated last vertex) and tags.
 
 from __future__ import annotations
 
+import numpy as np
+
 from . import wire
 
 MOVE, TO, CLOSE = 1, 2, 7
@@ -35,6 +37,72 @@ def encode_geometry(kind: int, parts: list[list[tuple[int, int]]]) -> list[int]:
     return out
 
 
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of whole numbers under 2**35, end to end, and each one's number of bytes."""
+    v = values.astype(np.uint64)
+    size = 1 + sum((v >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 5))
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(5):
+        at = np.flatnonzero(size > k)
+        out[start[at] + k] = (v[at] >> np.uint64(7 * k) & np.uint64(0x7F)).astype(np.uint8) | np.where(size[at] > k + 1, 128, 0).astype(np.uint8)
+    return out, size
+
+
+def encode_geometries(kind: int, v: np.ndarray, off: np.ndarray, row: np.ndarray, rows: int) -> list[bytes]:
+    """What ``encode_geometry`` gives for many features of one kind, as packed bytes: whole-number vertices and the
+    offsets of parts, each of a row, in order."""
+    if kind == 1:  # all points of a feature are one move
+        new = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
+        off, row = np.append(off[:-1][new], off[-1]), row[new]
+    n = np.diff(off)
+    delta = v.astype(np.int64).copy()
+    delta[1:] -= v[:-1].astype(np.int64)
+    first = off[:-1][np.append(True, row[1:] != row[:-1])] if len(row) else off[:0]
+    delta[first] = v[first]  # the cursor starts at 0 in each feature
+    coded = ((delta << 1) ^ (delta >> 63)) & 0xFFFFFFFF
+    head = 1 if kind == 1 else 2  # numbers before and between the vertices of a part
+    many = 2 * n + head + (kind == 3)
+    start = np.cumsum(many) - many
+    out = np.zeros(int(many.sum()), np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(v)) - np.repeat(off[:-1], n)
+    at = start[of] + 1 + 2 * place + (place > 0) * (head - 1)
+    out[at], out[at + 1] = coded[:, 0], coded[:, 1]
+    if kind == 1:
+        out[start] = MOVE | n << 3
+    else:
+        out[start], out[start + 3] = MOVE | 1 << 3, TO | n - 1 << 3
+        if kind == 3:
+            out[start + many - 1] = CLOSE | 1 << 3
+    raw, size = varints(out)
+    per = np.zeros(rows, np.int64)
+    np.add.at(per, row, np.add.reduceat(size, start) if len(start) else 0)
+    ends = np.cumsum(per)
+    whole = raw.tobytes()
+    return [whole[b - a : b] for a, b in zip(per.tolist(), ends.tolist(), strict=True)]
+
+
+def encode_rows(name: str, rows, extent: int = 4096, typed=lambda pairs: dict(pairs)) -> bytes:
+    """A layer from (id, kind, packed geometry, tag pairs) rows; ``typed`` turns pairs into values, once per pair."""
+    words, body, known = wire.Dictionary(), [], {}
+    for ident, kind, geometry, pairs in rows:
+        if not geometry:
+            continue
+        tags = []
+        for pair in pairs or ():
+            if pair not in known:
+                known[pair] = wire.packed(2, words.tags(typed([pair])))[2:]
+            tags.append(known[pair])
+        own = wire.whole(1, ident) + (wire.block(2, b"".join(tags)) if tags else b"") + wire.whole(3, kind) + wire.block(4, geometry)
+        body.append(wire.block(2, own))
+    if not body:
+        return b""
+    out = wire.whole(15, 2) + wire.block(1, name.encode()) + b"".join(body)
+    out += b"".join(wire.block(3, k.encode()) for k in words.keys) + b"".join(wire.block(4, wire.tile_value(v)) for _, v in words.values)
+    return wire.block(3, out + wire.whole(5, extent))
+
+
 def decode_geometry(kind: int, commands: list[int]) -> list[list[tuple[int, int]]]:
     parts: list[list[tuple[int, int]]] = []
     x = y = at = 0

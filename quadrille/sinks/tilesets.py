@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..codecs import glb, mvt, precomputed, tile3d
-from ..functions import geometry, grid
+from ..functions import clipping, geometry, grid
 from ..functions.text import tile_path
 from ..operators.tiles import TILE2, TILE3
 
@@ -43,20 +43,38 @@ def _typed(tags) -> dict:
     return out
 
 
+def mvt_messages(frags: DataFrame, extent: int = 4096) -> DataFrame:
+    """Fragments with their geometry as packed commands in tile units: a map stage over whole Arrow batches."""
+
+    def run(batches):
+        for batch in batches:
+            v, off, row = clipping.flat(batch.column("parts"), 2)
+            zoom, x, y, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in (*TILE2, "geom_type"))
+            of = np.repeat(row, np.diff(off))
+            scaled = extent * (v * np.exp2(zoom[of])[:, None] - np.column_stack([x[of], y[of]]))
+            whole = np.copysign(np.floor(np.abs(scaled) + 0.5), scaled).astype(np.int64)
+            out = [b""] * batch.num_rows
+            for kind in np.unique(kinds[row]):
+                own = np.flatnonzero(kinds[row] == kind)
+                for i, g in enumerate(mvt.encode_geometries(int(kind), *clipping.take(whole, off, own), row[own], batch.num_rows)):
+                    out[i] = g or out[i]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (*TILE2, "feature_id", "geom_type")] + [pa.array(out, pa.binary()), batch.column("tags")], names=[*TILE2, "feature_id", "geom_type", "geometry", "tags"])
+
+    own = frags.where(F.col("geom_type") <= geometry.POLYGON).select(*TILE2, "feature_id", "geom_type", "parts", "tags")
+    kinds = dict(own.dtypes)
+    return own.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (*TILE2, "feature_id", "geom_type")) + ", geometry binary, tags map<string,string>")
+
+
 def mvt_tiles(frags: DataFrame, layer: str, extent: int = 4096) -> DataFrame:
-    """(path, content) of {z}/{x}/{y}.pbf, one a tile that has features."""
+    """(path, content) of {z}/{x}/{y}.pbf, one a tile that has features. Only finished messages meet in a tile."""
 
     def run(table: pa.Table) -> pa.Table:
         zoom, x, y = (table.column(c)[0].as_py() for c in TILE2)
-        order = np.argsort(table.column("feature_id").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        rows = [
-            {"id": i, "kind": k, "parts": _quantised(p, zoom, (x, y), extent, False), "tags": _typed(t)}
-            for i, k, p, t in zip(*(table.column(c).to_pylist() for c in ("feature_id", "geom_type", "parts", "tags")), strict=True)
-        ]
-        return pa.table({"path": [f"{zoom}/{x}/{y}.pbf"], "content": pa.array([mvt.encode_layer(layer, rows, extent)], pa.binary())})
-
-    return frags.select(*TILE2, "feature_id", "geom_type", "parts", "tags").groupBy(*TILE2).applyInArrow(run, FILE).where("length(content) > 0")
+        table = table.take(pa.array(np.argsort(table.column("feature_id").to_numpy(), kind="stable")))
+        rows = zip(*(table.column(c).to_pylist() for c in ("feature_id", "geom_type", "geometry", "tags")), strict=True)
+        return pa.table({"path": [f"{zoom}/{x}/{y}.pbf"], "content": pa.array([mvt.encode_rows(layer, rows, extent, _typed)], pa.binary())})
+
+    return mvt_messages(frags, extent).groupBy(*TILE2).applyInArrow(run, FILE).where("length(content) > 0")
 
 
 def merged_layers(*layers: DataFrame) -> DataFrame:

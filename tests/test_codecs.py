@@ -32,6 +32,19 @@ def test_vector_tiles_round_trip(features):
         assert layer["features"] == [r | {"tags": {k: v for k, v in tags.items() if v is not None}} for r in rows]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 3), st.lists(st.lists(st.lists(vertex, min_size=3, max_size=5), min_size=1, max_size=3), min_size=1, max_size=5))
+def test_many_geometries_at_once(kind, features):
+    parts = [p for f in features for p in f]
+    v, off = np.array([c for p in parts for c in p]), np.cumsum([0] + [len(p) for p in parts])
+    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    got = mvt.encode_geometries(kind, v, off, row, len(features) + 1)
+    assert [wire.unpacked(g) for g in got] == [*(mvt.encode_geometry(kind, f) for f in features), []]
+    rows = [(i, kind, g, [("a", "1"), ("b", str(i % 2))]) for i, g in enumerate(got)]
+    want = [{"id": i, "kind": kind, "parts": [[c for p in f for c in p]] if kind == 1 else f, "tags": {"a": "1", "b": str(i % 2)}} for i, f in enumerate(features)]
+    assert mvt.decode(mvt.encode_rows("l", rows))[0]["features"] == want
+
+
 def test_3d_tiles_round_trip():
     mesh = {"id": 3, "kind": 5, "positions": np.arange(9, dtype="<f4").reshape(3, 3), "indices": np.array([0, 1, 2]), "tags": {"a": 1}, "radii": [0.5, 1.5]}
     line = {"id": 4, "kind": 2, "parts": [[(1, 2, -3), (4, 5, 6)], [(0, 0, 9), (7, 7, 7)]], "tags": {"a": 1, "b": "x"}}
