@@ -52,6 +52,24 @@ def test_recall_and_precision_against_brute_force(spark, monkeypatch, seed, bloc
     assert all(k == (i == c) for i, (_, c, k) in got.items())
 
 
+def hot(n, share, noise, dims=64, seed=5):
+    """Unit-variance background of one label with a group of independent noise round one centre."""
+    r = np.random.default_rng(seed)
+    many, centre = int(n * share), r.normal(size=dims)
+    return np.concatenate([centre + noise * r.normal(size=(many, dims)), r.normal(size=(n - many, dims))]).astype(np.float32)
+
+
+@pytest.mark.parametrize("noise", [0.2, 0.3])  # median cosines of 0.96 and 0.92
+def test_no_link_is_lost_in_a_large_dense_group(spark, noise):
+    v = hot(3000, 0.6, noise)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(axis=1) - 1
+    rows = [(i, e.tolist(), 1) for i, e in enumerate(v)]
+    got = {r.vec_id: r.n_links for r in x.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.999 * want.sum()
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(2, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (None, [1.0, 2.1], 1), (None, [5.0, -1.0], 1), (None, [5.0, -1.0], 1)]
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in x.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()), key=repr)
