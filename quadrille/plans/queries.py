@@ -210,6 +210,13 @@ def morton_order_rank(spark, d):
     return own.select("k", F.row_number().over(Window.orderBy("code", "k")).cast("long").alias("rank"))
 
 
+# morton_order_rank and its SQL cover a sample; this ranks all rows
+@query(f"WITH {_XYZ} SELECT k, row_number() OVER (ORDER BY {_MORTON}, k) AS rank FROM x")
+def morton_order_all(spark, d):
+    own = _xyz(spark, d).withColumn("code", grid.morton3(F.col("a"), F.col("b"), F.col("c")))
+    return sequences.dense_ids(own, ["code", "k"], "rank").select("k", (F.col("rank") + 1).alias("rank"))
+
+
 @query(f"""WITH {_POINTS} SELECT fid, zoom, CAST(floor(4096.0 * (nx * n - tile_x) + 0.5) AS BIGINT) AS px,
 CAST(round_even(4096.0 * (ny * n - tile_y), 0) AS BIGINT) AS py FROM t WHERE zoom IN (0, 3)""")
 def tile_local_integers(spark, d):

@@ -9,3 +9,9 @@ TABLES = "/root/testdata/sf0.001"
 def test_every_tree_has_tubes(spark):
     want = {str(r[0]) for r in spark.read.parquet(f"{TABLES}/lineitem.parquet").select("l_orderkey").distinct().collect()}
     assert {r["name"] for r in entry.queries()["tube_meshes"](spark, TABLES).collect()} == want
+
+
+def test_every_order_has_a_morton_rank(spark):
+    got = entry.queries()["morton_order_all"](spark, TABLES).collect()
+    n = spark.read.parquet(f"{TABLES}/orders.parquet").count()
+    assert sorted(r["rank"] for r in got) == list(range(1, n + 1))
