@@ -175,6 +175,12 @@ def world_wrap(spark, d):
     return pyramid.wrapped(points(spark, d).where("fid % 97 = 0")).select("fid", "world", F.floor(F.col("nx") * 1000).cast("long").alias("ix"))
 
 
+# world_wrap and its SQL cover a sample; this wraps all points
+@query(f"WITH {_POINTS} SELECT fid, CAST(w.range AS INT) AS world, CAST(floor((nx + w.range) * 1000) AS BIGINT) AS ix FROM p, range(-1, 2) w")
+def world_wrap_all(spark, d):
+    return pyramid.wrapped(points(spark, d)).select("fid", "world", F.floor(F.col("nx") * 1000).cast("long").alias("ix"))
+
+
 # --- grid expressions ---------------------------------------------------------------------------------------------
 
 _XYZ = "x AS (SELECT o_orderkey AS k, o_orderkey % 1024 AS a, o_custkey % 1024 AS b, (o_orderkey * 7) % 1024 AS c FROM orders)"

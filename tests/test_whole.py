@@ -15,3 +15,8 @@ def test_every_order_has_a_morton_rank(spark):
     got = entry.queries()["morton_order_all"](spark, TABLES).collect()
     n = spark.read.parquet(f"{TABLES}/orders.parquet").count()
     assert sorted(r["rank"] for r in got) == list(range(1, n + 1))
+
+
+def test_every_point_is_wrapped(spark):
+    got = entry.queries()["world_wrap_all"](spark, TABLES)
+    assert got.count() == 3 * q.points(spark, TABLES).count()
