@@ -567,6 +567,15 @@ def vertex_dedup(spark, d):
     return vertex_index(order_points(spark, d).withColumn("x", F.floor(F.col("x") / 1000)), ["x", "y"], "fid").where("fid % 16 < 4").select("fid", "idx")
 
 
+# vertex_dedup and its SQL return a sample; this returns the index of every vertex
+@query(f"""WITH {_OPOINTS.replace("o_totalprice", "floor(o_totalprice / 1000)")}, f AS (SELECT min(fid) AS first, x, y FROM p GROUP BY x, y), r AS (SELECT x, y, dense_rank() OVER (ORDER BY first) - 1 AS idx FROM f)
+SELECT fid, idx FROM p JOIN r USING (x, y)""")
+def vertex_dedup_all(spark, d):
+    from ..functions.mesh import vertex_index
+
+    return vertex_index(order_points(spark, d).withColumn("x", F.floor(F.col("x") / 1000)), ["x", "y"], "fid").select("fid", "idx")
+
+
 @query(f"WITH {_VERTICES}, e AS (SELECT id, pos, y - lag(y, 1, CAST(0 AS BIGINT)) OVER (PARTITION BY id ORDER BY pos) AS d FROM v) SELECT id, pos, xor(d * 2, d >> 63) AS z FROM e")
 def delta_encode(spark, d):
     return sequences.deltas(vertices(spark, d), ["id"], "pos", "y").select("id", "pos", grid.zigzag(F.col("delta")).alias("z"))

@@ -20,3 +20,8 @@ def test_every_order_has_a_morton_rank(spark):
 def test_every_point_is_wrapped(spark):
     got = entry.queries()["world_wrap_all"](spark, TABLES)
     assert got.count() == 3 * q.points(spark, TABLES).count()
+
+
+def test_every_vertex_has_an_index(spark):
+    got = entry.queries()["vertex_dedup_all"](spark, TABLES)
+    assert got.count() == q.order_points(spark, TABLES).count()
