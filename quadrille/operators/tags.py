@@ -116,14 +116,15 @@ def filterable(rows: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     return found.where("n_distinct > 1").select("name", F.when(F.col("numeric"), "numeric").otherwise("categorical").alias("kind"), "n_distinct", "low", "high")
 
 
-def property_ranges(rows: DataFrame, most: int = 64) -> DataFrame:
-    """name, kind (Number beats String), low, high and, for strings, their sorted distinct values up to ``most``."""
+def property_ranges(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """name, kind (Number beats String), low, high and, for strings, their sorted distinct values: all, or
+    the smallest ``most``."""
     number = F.col("value").try_cast("double")
     own = rows.where("value is not null")
     stats = own.groupBy("name").agg(F.bool_or(number.isNotNull()).alias("numeric"), F.min(number).alias("low"), F.max(number).alias("high"))
-    # the smallest values per name, cut before they meet: enums are lists for people
     texts = own.where(number.isNull()).select("name", "value").distinct()
-    texts = texts.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("value"))).where(F.col("_n") <= most)
+    if most is not None:  # cut before they meet
+        texts = texts.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("value"))).where(F.col("_n") <= most)
     enums = texts.groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("value")), ",").alias("enums"))
     return stats.join(enums, "name", "left").select("name", F.when(F.col("numeric"), "Number").otherwise("String").alias("kind"), "low", "high", "enums")
 

@@ -1,6 +1,7 @@
 """Queries do the whole job: nothing of the input is left out."""
 
 import __spark_entry__ as entry
+from quadrille.operators import tags
 from quadrille.plans import queries as q
 
 TABLES = "/root/testdata/sf0.001"
@@ -25,3 +26,8 @@ def test_every_point_is_wrapped(spark):
 def test_every_vertex_has_an_index(spark):
     got = entry.queries()["vertex_dedup_all"](spark, TABLES)
     assert got.count() == q.order_points(spark, TABLES).count()
+
+
+def test_all_values_of_a_property_are_listed(spark):
+    rows = spark.createDataFrame([("p", f"v{i:03}") for i in range(100)], "name string, value string")
+    assert tags.property_ranges(rows).first()["enums"] == ",".join(f"v{i:03}" for i in range(100))
