@@ -10,8 +10,8 @@ one child on average however deep the recursion goes. Nodes of at most ``LEAF``
 force. In larger ones all are first compared with one class chosen by hash: what is much like it gets an edge, what
 is almost equal to it leaves, as whatever is similar to that gets the same edge. The rest goes on to the children.
 Nodes that are still large after ``LEVELS`` levels are compared as a whole in the next step. ``RUNS`` runs, with
-seven chosen coordinates at the root, find a pair at the threshold with a chance of over 0.9999 at one level and
-0.99 at three; more similar pairs sooner.
+fifteen chosen coordinates at the root, are to find all but one in a thousand of the pairs at the threshold where
+three levels are needed; more similar pairs sooner.
 
 Verification. Classes that edges connect form clusters. Each class's text goes once to its cluster, where all
 pairs get their exact similarity; clusters of more than ``BLOCK`` are compared block against block. Links are
@@ -35,11 +35,11 @@ from ._shared import BASES, Links, Words, components, documents, mix, rolling, s
 from .substring_dedup import joined
 
 NGRAM, THRESHOLD = 5, 0.8
-COORDINATES, RUNS, LEVELS, LEAF, BLOCK = 64, 6, 3, 64, 2048
+COORDINATES, RUNS, LEVELS, LEAF, BLOCK = 64, 12, 3, 64, 2048
 #: Places in which a large node is compared with its chosen class.
 SALTS = 16
 #: Share of equal minima that makes an edge, and that lets a class leave a large node.
-LIKE, SAME = 0.4, 0.75
+LIKE, SAME = 0.4, 0.9
 #: Ids of classes all of whose doc_ids are null start here.
 NAMELESS = 1 << 62
 

@@ -70,6 +70,20 @@ def test_empty_table(spark):
     assert x.jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_pairs_at_the_threshold_meet_in_nodes_that_stay_large(spark):
+    """Every coordinate has few values, so all nodes are large for two levels; pairs agree in 51 of 64."""
+    r = np.random.default_rng(3)
+    a = r.integers(0, 8, (3000, x.COORDINATES))
+    b = a.copy()
+    for row in b:
+        i = r.permutation(x.COORDINATES)[:13]
+        row[i] = (row[i] + r.integers(1, 8, 13)) % 8
+    rows = [(i, s.tolist()) for i, s in enumerate(np.concatenate([a, b]))]
+    edges = x.candidate_edges(spark.createDataFrame(rows, "node long, sketch array<int>"))
+    root = {e["node"]: e["root"] for e in x.components(edges).collect()}
+    assert sum(i in root and root[i] == root.get(i + 3000) for i in range(3000)) >= 0.999 * 3000
+
+
 def test_sketches_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 4000).astype(np.uint64)
