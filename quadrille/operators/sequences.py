@@ -4,19 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..stored import written
 
-def dense_ids(df: DataFrame, order: list[str], name: str = "fid") -> DataFrame:
-    """0-based ids in the total order of ``order`` without a single-task window.
 
-    Rows are range-partitioned by the order; a partition's offset is the sum of the counts before it. Only one
-    count a partition meets in one task.
+#: Rows a partition that ``monotonically_increasing_id`` leaves room for.
+_ROOM = 33
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, written once, with _part and _rank (from 0 in each part).
+
+    Written, because range bounds are sampled and partitions coalesced anew in every exchange: two plans over the
+    same rows would number other partitions. Rows that agree in ``order`` are told apart by a hash of their other
+    columns, so a value that a third of all rows hold is spread and a retry numbers rows alike; only equal rows
+    are interchangeable.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
-    own = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    return own.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_base") + F.col("_rank")).cast("long")).drop("_part", "_rank", "_base")
+    rest = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in order and _hashable(f.dataType)]
+    keys = [*[F.col(c) for c in order], *([F.xxhash64(*rest)] if rest else [])]
+    rows = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    return rows.withColumn("_part", F.shiftright("_at", _ROOM)).withColumn("_rank", F.col("_at").bitwiseAND((1 << _ROOM) - 1)).drop("_at")
+
+
+def _offset(rows: DataFrame, total: Column) -> DataFrame:
+    """``rows`` with _base, the sum of ``total`` over the parts before. One row a part meets in one task."""
+    sums = rows.groupBy("_part").agg(total.alias("_n"))
+    bases = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+    return rows.join(F.broadcast(bases), "_part")
+
+
+def dense_ids(df: DataFrame, order: list[str], name: str = "fid") -> DataFrame:
+    """0-based ids in the order of ``order`` without a window over all rows: rank in the part, plus the rows before
+    the part. Writes ``df`` once, in order, to the shared folder."""
+    own = _offset(_in_order(df, order), F.count(F.lit(1)))
+    return own.withColumn(name, (F.col("_base") + F.col("_rank")).cast("long")).drop("_part", "_rank", "_base")
+
+
+def running_totals(df: DataFrame, order: list[str], size: str, name: str = "before") -> DataFrame:
+    """The sum of ``size`` over all rows before, in the order of ``order``, without a window over all rows."""
+    own = _offset(_in_order(df, order), F.sum(size))
+    inside = F.sum(size).over(Window.partitionBy("_part").orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(size)
+    return own.withColumn(name, F.col("_base") + inside).drop("_part", "_rank", "_base")
 
 
 def unique_ids(df: DataFrame, ident: str, order: list[str], name: str = "uid") -> DataFrame:
@@ -53,9 +90,9 @@ def stratified_n(df: DataFrame, group: str, key: str, total: int, groups: int) -
 
 
 def capped_groups(df: DataFrame, group: str, cap: int) -> DataFrame:
-    """Whole groups in their order until the running total of rows reaches ``cap``. One row a group is ranked."""
+    """Whole groups in their order until the running total of rows reaches ``cap``."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("before", F.sum("n").over(Window.orderBy(group)) - F.col("n")).where(F.col("before") < cap)
+    return running_totals(counts, [group], "n").where(F.col("before") < cap)
 
 
 def split(df: DataFrame, group: str, order: list[Column], shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
@@ -67,24 +104,21 @@ def split(df: DataFrame, group: str, order: list[Column], shares: tuple[float, f
 
 def encoded_labels(df: DataFrame, column: str) -> DataFrame:
     """(column, code): the distinct values in order, numbered from 0."""
-    return df.select(column).distinct().select(column, (F.dense_rank().over(Window.orderBy(column)) - 1).alias("code"))
+    return dense_ids(df.select(column).distinct(), [column], "code")
 
 
 def batches(df: DataFrame, tile: list[str], order: list[str], size: int) -> DataFrame:
     """Batches of ``size`` rows that keep to one tile: full ones inside a tile first; the rest of all tiles, in tile
-    order, makes mixed ones; a last short one is dropped. Adds batch (text) and slot.
-
-    Only remainders, under ``size`` rows a tile, are ranked together.
-    """
+    order, makes mixed ones; a last short one is dropped. Adds batch (text) and slot. ``order`` is total in a tile."""
     w = Window.partitionBy(*tile)
     df = df.withColumn("_rn", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     full = F.floor(F.col("_n") / size) * size
     own = df.where(F.col("_rn") < full)
     own = own.withColumn("batch", F.concat_ws("/", *tile, F.floor(F.col("_rn") / size).cast("string"))).withColumn("slot", F.col("_rn") % size)
-    rest = df.where(F.col("_rn") >= full)
-    rest = rest.withColumn("_at", F.row_number().over(Window.orderBy(*tile, *order)) - 1).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy()))
-    rest = rest.where(F.floor(F.col("_at") / size) < F.floor(F.col("_all") / size))
-    rest = rest.withColumn("batch", F.concat(F.lit("mixed/"), F.floor(F.col("_at") / size).cast("string"))).withColumn("slot", F.col("_at") % size).drop("_at", "_all")
+    rest = dense_ids(df.where(F.col("_rn") >= full), [*tile, *order], "_at")
+    whole = rest.agg((F.floor(F.count(F.lit(1)) / size) * size).alias("_whole"))
+    rest = rest.crossJoin(F.broadcast(whole)).where(F.col("_at") < F.col("_whole")).drop("_whole")
+    rest = rest.withColumn("batch", F.concat(F.lit("mixed/"), F.floor(F.col("_at") / size).cast("string"))).withColumn("slot", F.col("_at") % size).drop("_at")
     return own.unionByName(rest).drop("_rn", "_n")
 
 

@@ -116,7 +116,8 @@ def convert_obj(spark: SparkSession, source: str, target: str, config: dict) ->
 def convert_xenium(spark: SparkSession, source: str, target: str, config: dict) -> dict:
     """Cell and transcript tables to one set of tiles, a pyramid a layer, weighted points by zoom, and a long facet store."""
     scale = 1.0 / features_scale(spark, source)
-    cells = features.polygons(spark.read.parquet(f"{source}/cell_boundaries.parquet").withColumn("_pos", F.monotonically_increasing_id()), "cell_id", "vertex_x", "vertex_y", "_pos", "cells", scale)
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("_pos")  # Spark packs files by size, in any order
+    cells = features.polygons(spark.read.parquet(f"{source}/cell_boundaries.parquet").select("*", place), "cell_id", "vertex_x", "vertex_y", "_pos", "cells", scale)
     spots = tags.quality_filter(spark.read.parquet(f"{source}/transcripts.parquet"), "feature_name", "qv" if config.get("qv", True) else None)
     spots = features.points(spots, "x_location", "y_location", "feature_name", "gene", "transcripts", scale)
     box = pyramid.bounds_of((spots, "x", "y"), (cells.select(F.explode(F.col("parts")[0]).alias("p")).select(F.col("p")[0].alias("x"), F.col("p")[1].alias("y")), "x", "y")).first()

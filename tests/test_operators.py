@@ -204,3 +204,49 @@ def test_expression_gate(spark):
     df = spark.createDataFrame([(1, 3, [[[0.1, 0.1], [0.15, 0.1], [0.15, 0.15], [0.1, 0.15]]], {"total_counts": "42", "expression": "{}"})], "fid long, kind tinyint, parts array<array<array<double>>>, tags map<string,string>")
     got = {r.zoom: set(r.tags) for r in fragments.fragments(df, (0.0, 0.0, 1.0, 1.0), 4, gate={"expression": 3}).collect()}
     assert got == {z: {"total_counts"} | ({"expression"} if z >= 3 else set()) for z in range(5)}
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_dense_ids_of_many_rows_with_payload(spark, adaptive):
+    """More rows than a range partitioner samples, an order with ties, a value that a third of the rows hold."""
+    n = 1_000_000
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.pmod(F.xxhash64("id"), F.lit(50_000)))
+    df = spark.range(n, numPartitions=16).select(key.alias("k"), F.col("id").alias("payload"), F.repeat(F.lit("x"), 20).alias("wide"))
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = sequences.dense_ids(df, ["k"])
+        row = got.agg(F.count(F.lit(1)), F.countDistinct("fid"), F.min("fid"), F.max("fid"), F.countDistinct("payload")).first()
+        assert tuple(row) == (n, n, 0, n - 1, n)
+        assert got.select("k", "payload").exceptAll(df.select("k", "payload")).isEmpty()
+        spans = got.groupBy("k").agg(F.min("fid").alias("a"), F.max("fid").alias("b"), F.count(F.lit(1)).alias("c"))
+        assert spans.where("b - a + 1 <> c").isEmpty()
+        low = spans.orderBy("a").select("k").limit(100).collect()
+        assert [r.k for r in low] == sorted(r.k for r in low)
+        totals = sequences.running_totals(spans.select("k", "c", "a"), ["k"], "c")
+        assert totals.where("before <> a").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_callers_of_dense_ids_keep_all_rows(spark, tmp_path):
+    from quadrille.functions import mesh
+    from quadrille.sources import features
+
+    n = 300_000
+    rows = spark.range(n, numPartitions=8)
+    dup = rows.select(F.when(F.col("id") % 2 == 0, F.lit(3)).otherwise(F.col("id")).alias("k"), "id", F.repeat(F.lit("y"), 30).alias("wide"))
+    uid = sequences.unique_ids(dup, "k", ["id"])
+    assert tuple(uid.agg(F.count(F.lit(1)), F.countDistinct("uid"), F.countDistinct("id")).first()) == (n, n, n)
+    laid = sequences.laid_out(rows.select("id", F.lit(1.0).alias("w"), F.lit(1.0).alias("h")), "id", "w", "h", 999.0, 1.0)
+    assert tuple(laid.agg(F.count(F.lit(1)), F.countDistinct("dx", "dy")).first()) == (n, n)
+    points = rows.select("id", *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(60)).alias(c) for i, c in enumerate("xyz")])
+    index = mesh.vertex_index(points, ["x", "y", "z"], "id")
+    row = index.agg(F.count(F.lit(1)), F.countDistinct("id"), F.countDistinct("idx"), F.max("idx"), F.countDistinct("x", "y", "z")).first()
+    assert row[0] == row[1] == n and row[2] == row[3] + 1 == row[4]
+    (tmp_path / "files").mkdir()
+    for i in range(20):
+        own = ",".join(f'{{"type": "Feature", "geometry": {{"type": "Point", "coordinates": [{k}, 1]}}, "properties": {{"n": {k}}}}}' for k in range(i, n, 20))
+        (tmp_path / "files" / f"{i}.geojson").write_text(f'{{"type": "FeatureCollection", "features": [{own}]}}')
+    found = features.geojson(spark, str(tmp_path / "files"))
+    assert tuple(found.agg(F.count(F.lit(1)), F.countDistinct("fid"), F.max("fid")).first()) == (n, n, n - 1)
