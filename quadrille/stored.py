@@ -39,6 +39,11 @@ def _path(spark: SparkSession, folder: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    fs, path = _path(spark, folder)
+    return fs.exists(path)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     folder = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     _made.paths = [*paths(), folder]
