@@ -59,12 +59,12 @@ def held_out(divisor: int, rest: int):
     return F.coalesce(remainder(divisor) == rest, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], keep, bound: int, most_bytes: int = 1 << 18) -> DataFrame:
-    """doc_id, text and label ``columns`` (as float) of at most ``bound`` rows, for fitting.
+def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], keep, bound: int) -> DataFrame:
+    """doc_id, text and label ``columns`` (as float) of at most ``bound`` rows, whole texts of any length, for fitting.
 
     The bound is a parameter of the fit alone: rows are those least by a hash of doc_id among labelled ones for
-    which ``keep`` holds, with all labels known, one per doc_id, and texts of at most ``most_bytes`` bytes.
-    Label rows that disagree about a document teach nothing.
+    which ``keep`` holds, with all labels known, one per doc_id. Label rows that disagree about a document teach
+    nothing.
     """
     known = pick(labels, doc_id="doc_id", **{c: c for c in columns})
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("double").alias(c) for c in columns]).na.drop().where(keep)
@@ -72,5 +72,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], keep
     for c in columns:
         known = known.where(F.col(c) == F.col(f"{c}__most")).drop(f"{c}__most")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    texts = documents(docs).where(F.octet_length("text") <= most_bytes)
-    return texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", *columns)
+    return documents(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", *columns)

@@ -1,69 +1,21 @@
-"""Helpers that every operator of this subpackage uses: column picking, shared tables, word arrays.
-
-Tables that cut lineage go to the folder named in ``spark.checkpoint.dir`` (read from the session). Only
-where that setting is absent, as in tests, a temporary folder is used instead.
-"""
+"""Helpers that every operator of this subpackage uses: column picking, word arrays, components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import threading
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..stored import paths, release, written
+
 #: The white space that contracts name as [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 
-_own_dir: list[str] = []
-_made = threading.local()  # folders that a thread has made
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/") + "/quadrille"
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="quadrille-"))
-        atexit.register(__import__("shutil").rmtree, _own_dir[0].removeprefix("file://"), ignore_errors=True)
-    return _own_dir[0]
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _made.paths = [*paths(), path]
-    return path
-
-
-def paths() -> list[str]:
-    """Folders that this thread has made in the shared folder and not released."""
-    return list(getattr(_made, "paths", []))
-
-
-def release(spark: SparkSession, *folders: str) -> None:
-    """Deletes folders that nothing reads any more, wherever Spark's file systems have them."""
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _made.paths = [p for p in paths() if p not in folders]
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends there, so a lost
-    executor costs a read, not a recomputation."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """The columns ``names`` (new name -> name in ``df``), by exact spelling first.
 
@@ -276,6 +228,7 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     Rows stay linear in the edges, minima are combined before the shuffle, and joins on hot nodes can be
     split. Each round is written to the shared folder, so lineage doesn't grow.
     """
+    spark, made = edges.sparkSession, len(paths())
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -288,8 +241,10 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
         new = written(small.distinct(), tag)
         sums = lambda d: d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-        if sums(new) == sums(now):
-            break
+        done = sums(new) == sums(now)
         now = new
+        release(spark, *paths()[made:-1])
+        if done:
+            break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Links, components, pick, written
+from ..stored import written
+from ._shared import Links, components, pick
 from .jaccard_join import NAMELESS
 
 THRESHOLD, PIVOTS, PREFIX, SHARED, BLOCK = 0.93, 4096, 8, 2, 2048

@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BASES, Links, Words, components, documents, mix, rolling, small_batches, text_bytes, written
+from ..stored import written
+from ._shared import BASES, Links, Words, components, documents, mix, rolling, small_batches, text_bytes
 from .substring_dedup import joined
 
 NGRAM, THRESHOLD = 5, 0.8

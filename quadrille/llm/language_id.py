@@ -9,6 +9,8 @@ Learning reads every row it may read: partitions add profiles up, and languages
 driver, so the model's size doesn't follow the data. Words are bounded by one blank on either side; letters are
 lower-cased; whatever isn't a letter counts as a blank.
 
+A text of any length is read whole; the vectors of ``SLICE`` distinct trigrams are in memory at once.
+
 Defined results: null text, or text without a letter, gives ``und`` and score 0; ties go to the first language by
 name; rows with null lang teach nothing; where nothing can be learnt all rows give ``und``; repeated rows get a row
 each; an empty table gives no rows; extra columns are ignored.
@@ -27,6 +29,8 @@ from ._shared import documents, small_batches
 DIMENSIONS, SEED = 1024, 20240229
 #: Distinct trigrams whose vectors a worker keeps; others are bound anew when met.
 CACHE = 12_000
+#: Trigrams whose vectors are bundled at once.
+SLICE = 4096
 #: Sharpness of the score, a softmax over cosines.
 SHARPNESS = 20.0
 
@@ -67,14 +71,27 @@ class Trigrams:
         low = np.concatenate([[0], self.lower[points], [0]])
         return low[(low != 0) | np.concatenate([[True], low[:-1] != 0])]
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The texts' distinct packed trigrams in order, and a count for each text and trigram."""
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' distinct packed trigrams in order, then for each trigram and text that has it, in this order: the
+        trigram's number, the text's and the count."""
         parts = [self.codes(t).astype(np.int64) for t in texts]
         packed = [x[:-2] << 42 | x[1:-1] << 21 | x[2:] for x in parts]
         keys, at = np.unique(np.concatenate(packed), return_inverse=True)
         doc = np.repeat(np.arange(len(texts)), [len(x) for x in packed])
-        flat = np.bincount(doc * len(keys) + at, minlength=len(texts) * len(keys))
-        return keys, flat.reshape(len(texts), len(keys)).astype(np.float32)
+        pairs, many = np.unique(at * np.int64(len(texts)) + doc, return_counts=True)
+        return keys, *np.divmod(pairs, max(len(texts), 1)), many.astype(np.float32)
+
+    def bundles(self, texts: int, keys: np.ndarray, at: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The sum of the trigrams' vectors times weight, for each text; ``SLICE`` trigrams at a time, so memory
+        follows the dimensions, not the trigrams of a text."""
+        out = np.zeros((texts, self.dimensions), np.float32)
+        for low in range(0, len(keys), SLICE):
+            part = keys[low : low + SLICE]
+            i, j = np.searchsorted(at, [low, low + len(part)])
+            dense = np.zeros((texts, len(part)), np.float32)
+            dense[doc[i:j], at[i:j] - low] = weight[i:j]
+            out += dense @ self.table_of(part)
+        return out
 
     def table_of(self, keys: np.ndarray) -> np.ndarray:
         """The vectors of ``keys``, from the cache where it has them."""
@@ -110,13 +127,17 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED)
     def run(batches):
         grams, sums = Trigrams(dimensions, seed), {}
         for batch in text_groups(batches):
-            keys, counts = grams.counts(batch.column("text").to_pylist())
+            keys, at, doc, many = grams.counts(batch.column("text").to_pylist())
             if not len(keys):
                 continue
-            counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1)
-            langs, table = np.array(batch.column("lang").to_pylist(), dtype=object), grams.table_of(keys)
-            for lang in sorted(set(langs)):
-                sums[lang] = sums.get(lang, 0) + (counts[langs == lang].sum(axis=0) @ table).astype(np.float64)
+            norm = np.sqrt(np.bincount(doc, weights=many.astype(np.float64) ** 2, minlength=batch.num_rows))
+            names, code = np.unique(batch.column("lang").to_pylist(), return_inverse=True)
+            # a language's texts add up: one bundle a language
+            pairs, where = np.unique(at * np.int64(len(names)) + code[doc], return_inverse=True)
+            weight = np.bincount(where, weights=many / np.maximum(norm, 1)[doc]).astype(np.float32)
+            found = grams.bundles(len(names), keys, *np.divmod(pairs, len(names)), weight)
+            for lang, v in zip(names.tolist(), found, strict=True):
+                sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()])], names=["lang", "sums"])
 
@@ -139,11 +160,11 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, seed: int = S
     def run(batches):
         grams = Trigrams(model.shape[1], seed)
         for batch in text_groups(batches):
-            keys, counts = grams.counts(batch.column("text").to_pylist())
+            keys, at, doc, many = grams.counts(batch.column("text").to_pylist())
             names, scores = np.full(batch.num_rows, "und", dtype=object), np.zeros(batch.num_rows)
-            some = counts.sum(axis=1) > 0
+            some = np.bincount(doc, minlength=batch.num_rows) > 0
             if some.any() and langs:
-                profiles = counts[some] @ grams.table_of(keys)
+                profiles = grams.bundles(batch.num_rows, keys, at, doc, many)[some]
                 cosines = (profiles @ weights).astype(np.float64) / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-12)
                 best = cosines.argmax(axis=1)
                 names[some] = np.array(langs, dtype=object)[best]

@@ -4,7 +4,7 @@ Each line becomes a row (128-bit hash of its key, document, position). Rows are
 by hash and sorted by hash, document and position, and one pass over the sorted stream finds each key's first
 occurrence and its number of documents. Keys so frequent that they would fill a partition (found by a bounded
 heavy-hitters sketch, which only routes) skip that shuffle: they are counted with map-side combining and their
-totals, at most ``HEAVY`` rows, are broadcast. Decisions return as one map a document from word number
+totals, a few rows a shuffle partition at most, are broadcast. Decisions return as one map a document from word number
 (position div 64) to the 64 drop bits there; words without a dropped line are left out.
 
 A key is the line with all of ``[\\x20\\x09-\\x0D]`` stripped at both ends and A-Z lower-cased. Defined results:
@@ -18,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WHITE, documents, written
+from ..stored import written
+from ._shared import WHITE, documents
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most keys that are treated as heavy, and the counters of the sketch that finds them.
-HEAVY, COUNTERS = 256, 4096
+#: A key with more than one part in ``SHARE`` of a shuffle partition's mean rows is heavy.
+SHARE = 4
 
 
 def line_key(line: Column) -> Column:
@@ -37,13 +38,14 @@ def occurrences(docs: DataFrame, min_length: int = 1) -> DataFrame:
 
 
 def heavy_keys(occ: DataFrame) -> list[int]:
-    """First hashes of keys with more than a quarter of a shuffle partition's mean share; ``HEAVY`` at most.
+    """First hashes of keys with more than a quarter of a shuffle partition's mean share of rows. No more than
+    ``SHARE`` keys a partition can have so many, so none is left out, and their number doesn't follow the data.
 
     They only choose a row's path. Both paths give the same decisions.
     """
-    row = occ.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h1, {HEAVY}, {COUNTERS})").alias("top")).first()
-    share = row["n"] // (4 * int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return [x["item"] for x in row["top"] or [] if x["count"] > max(share, 100)]
+    most = SHARE * int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = occ.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h1, {most}, {max(4096, 16 * most)})").alias("top")).first()
+    return [x["item"] for x in row["top"] or [] if x["count"] > max(row["n"] // most, 100)]
 
 
 def drops(docs: DataFrame, min_docs: int, keep_first: bool, min_length: int = 1) -> DataFrame:
@@ -102,7 +104,7 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (
-  SELECT *, translate(regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g'),
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,

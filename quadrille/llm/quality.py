@@ -4,7 +4,8 @@ A document is a bag of passages. Every passage is encoded (see ``_features``) an
 gated attention gives it the weight softmax(w . (tanh(V h) * sigmoid(U h))); the weighted sum of the hidden
 vectors is the document's representation, of which a logistic unit makes the score. Only documents have labels:
 which passages matter is learnt. The model is fitted by the driver on a bounded sample of labelled rows
-(``SAMPLE``, a parameter); scoring is one pass without a shuffle over all rows and whole texts.
+(``SAMPLE``) and, of a text with more than ``BAG`` passages, on that many at even distances over the whole text; both
+are parameters of the fit alone. Scoring is one pass without a shuffle over all rows and all passages.
 
 Defined results: null text counts as empty, and a text without words has one passage of zeros; with labels of
 one value only, every score is that value; without any, 0.5; repeated rows get a row each; an empty table gives no
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 from ._features import WIDTH, held_out, labelled_sample, passages
 from ._shared import documents, small_batches
 
-#: Labelled rows that a fit reads at most; hidden units; attention units; passes.
-SAMPLE, HIDDEN, ATTENTION, PASSES = 6000, 24, 12, 30
+#: Labelled rows that a fit reads at most, and passages a row; hidden units; attention units; passes.
+SAMPLE, BAG, HIDDEN, ATTENTION, PASSES = 6000, 256, 24, 12, 30
 
 
 def _sigmoid(x):
@@ -98,8 +99,13 @@ class AttentionModel:
         return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": z.T @ ds, "d": ds.sum(axis=0)}
 
 
-def encoded(df: DataFrame) -> DataFrame:
-    """The columns of ``df`` but text, and ``bag``: its passages' features as little-endian float32."""
+def spread(n: int, most: int) -> np.ndarray:
+    """The numbers of at most ``most`` of ``n`` passages, at even distances from the first to the last."""
+    return np.arange(n) if n <= most else np.round(np.linspace(0, n - 1, most)).astype(np.int64)
+
+
+def encoded(df: DataFrame, most: int = BAG) -> DataFrame:
+    """The columns of ``df`` but text, and ``bag``: the features of at most ``most`` passages as little-endian float32."""
     kept = [f for f in df.schema.fields if f.name != "text"]
     schema = T.StructType([*kept, T.StructField("bag", T.BinaryType())])
 
@@ -107,7 +113,7 @@ def encoded(df: DataFrame) -> DataFrame:
         for batch in small_batches(batches):
             whose, x = passages(batch.column("text"))
             at = np.searchsorted(whose, np.arange(batch.num_rows + 1))
-            bags = [x[i:j].astype("<f4").tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            bags = [x[i + spread(j - i, most)].astype("<f4").tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(bags, pa.binary())], names=[f.name for f in kept] + ["bag"])
 
     return df.mapInArrow(run, schema)

@@ -2,7 +2,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from quadrille.llm import exact_dedup as x
-from quadrille.llm._shared import new_path
+from quadrille.stored import new_path
 
 SCHEMA = "doc_id long, text string, KEEP string, digest string"
 
@@ -45,5 +45,27 @@ def test_equal_digests_with_other_bytes_are_told_apart(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_hits_on_earlier_calls_are_checked_by_their_bytes(spark, monkeypatch):
+    """One digest for all texts: later calls must tell theirs from the texts that the locators lead to."""
+    monkeypatch.setattr(x.F, "sha2", lambda c, n: x.F.lit("same"))
+    where, seen = new_path(spark, "state"), []
+    for rows in ([(4, "a b"), (5, "q")], [(1, "ab"), (2, "a  b"), (6, "new"), (7, " new")], [(8, "q"), (9, "new"), (3, "other")]):
+        seen += rows
+        want = {i: (k, n) for i, k, n in brute(seen)}
+        got = x.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), where).collect()
+        assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {i: want[i] for i, _ in rows}
+
+
+def test_texts_without_a_hit_are_filtered_before_they_are_shuffled(spark, tmp_path):
+    spark.range(2000).selectExpr("id as doc_id", "concat('text ', id % 1900) as text").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    seen = x.written(x.texts(docs).groupBy("digest").agg(x.F.count(x.F.lit(1)).alias("n")), "seen")
+    with x.configured(spark, x.FILTER_CONF):
+        plan = x.clashes(docs, seen.where("n > 1"), None)._jdf.queryExecution().executedPlan().toString()
+    assert "might_contain" in plan
+    below = plan[plan.rindex("might_contain") :]
+    assert "partial_min" not in below.split("FileScan")[0]  # the filter stands between the scan and the partial sums
+
+
 def test_empty_table(spark):
     assert x.exact_dedup(spark.createDataFrame([], SCHEMA)).count() == 0

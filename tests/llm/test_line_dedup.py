@@ -43,6 +43,25 @@ def test_heavy_keys_are_found(spark):
     assert len(x.heavy_keys(x.occurrences(docs))) == 1
 
 
+def test_query_and_sql_against_brute_force(spark, tmp_path):
+    """All six kinds of white space at the ends of lines, in twelve documents; inside a line they count."""
+    import hashlib
+
+    import duckdb
+
+    ends = ["\r", "\x0b", "\x0c", "\t", " ", "", "\r ", " \x0c\x0b", "\x85", "\u00a0", "", "\r"]
+    docs = [(i, f"{e if i % 2 else ''}Same Line{e}\nown {i}\nin{e}side\n\n") for i, e in enumerate(ends)]
+    docs += [(i, f"same line\r\nI {i}") for i in range(20, 28)] + [(90, None), (91, "\x0bSAME LINE")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute(docs, 10, False))
+    got = x.op4_line_dedup(spark, str(tmp_path))
+    assert [c for c in got.columns] == ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    assert sorted(map(tuple, got.collect())) == want
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted(db.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({x.OP4_SQL})").fetchall()) == want
+
+
 def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a\nb"), (None, "a\nc"), (1, "b")], "doc_id long, text string")
     assert sorted(r.kept for r in x.line_dedup(docs, 2, False).collect()) == ["", "", "c"]

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as p
-from quadrille.llm._shared import paths
+from quadrille.stored import paths
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b + c for a in ("ka", "lo", "mi", "ze") for b in ("ne", "ru", "so") for c in ("ta", "ve", "zi")]
