@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import jaccard_join, line_dedup, packing, quality, substring_dedup
-from quadrille.llm._shared import documents, paths, pick, release, written
+from quadrille.llm._shared import documents, pick
+from quadrille.stored import paths, release, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CARRIED = ("lang", "source", "n_chars")
