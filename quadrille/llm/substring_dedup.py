@@ -1,22 +1,25 @@
-"""Substring deduplication by recompression: rounds of globally consistent names, then exact verification.
+"""Substring deduplication by recompression: Spark rounds on names that are the same wherever the words are.
 
 A window is ``window`` consecutive words of one document. Words covered by a window whose word sequence starts
 anywhere else too are removed; windows are judged on the input.
 
-Names. Round 0 names every maximal run of one word, later rounds every pair of neighbours whose names fall in
-opposite halves (by a hash bit of name and round). A name is a hash of what it stands for, so tasks agree on names
-without talking, and a symbol depends only on the words in its interval [lo, hi), which is tracked. Hence equal
-windows have the same symbols inside, wherever they stand. A window's anchor is its first symbol whose interval it
-holds; its key is a hash of the anchor's name and the ``KEY`` words from lo on.
+Names. Level 0 names every maximal run of one word, later levels every pair of neighbours whose names fall in opposite
+halves (by a hash bit of name and level). A name is a function of the names it joins (two hashes of 64 bits, seeded by
+the level), so all tasks agree on it, and a symbol depends only on the words in its interval [lo, hi), which is
+tracked. Hence equal windows have the same symbols inside, wherever they stand.
 
-Verification. (1) Each batch of documents sends its distinct anchor keys to buckets of the key space, which send
-back one bit a key: does it occur anywhere else? (2) Windows with such an anchor, and windows without an anchor (in
-long runs of one word), are sent as 96-bit hashes of the whole window the same way. (3) Covered words go.
+Rounds. (1) A window's anchor is its first symbol whose interval it holds; its phrase is the anchor with the symbols
+after it that ``KEY`` words from lo on decide. Batches of documents send the names of their distinct phrases, and Spark
+tells which name occurs anywhere else. A phrase with one place is dead: no window with it is repeated. (2) Windows with
+a living phrase, and windows without an anchor (in long runs of one word), are named by what makes them up: the words
+before their first symbol, their symbols, the words after their last one. As symbols stand for their words, two windows
+have one name just where their words are equal (but for one chance in 2**96 a pair). Spark tells which of these names
+occur anywhere else. (3) Words under such windows go.
 
-A batch is a set of documents by hash, so it is the same in all three steps and Spark reuses one exchange of the
-texts. A batch sends a key once, however often it occurs there: a passage that a third of all documents hold costs
-one entry a batch. Batches and buckets grow in number, not in size, with the input; only a document longer than a
-batch makes one larger.
+Messages are flat rows, a name each, sorted by name in the JVM: linear in the words at every size, in no task more
+than one row a batch for the most frequent name. A batch sends a name once, however often it occurs there, so a
+passage that a third of all documents hold costs one row a batch. Rows are dealt to batches by their place, repeated
+rows too, and written so once: all rounds see the same batches. Only a document longer than a batch makes one larger.
 
 Defined results: null text counts as empty and has no words; documents shorter than ``window`` stay as they are,
 words joined by one blank; repeated rows are documents each, so their windows occur twice; an empty table gives no
@@ -27,161 +30,178 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import BASES, Words, documents, mix, rolling, text_bytes
+from ..stored import written
+from ._shared import BASES, Words, documents, mix, text_bytes
 
-#: Rounds of pairs; words of an anchor's key by words of a window; bytes of a batch and of a bucket.
-ROUNDS, KEY, BATCH, BUCKET = 5, 4 / 7, 4 << 20, 16 << 20
+#: Levels of pairs; words that decide a phrase by words of a window; bytes of a batch.
+LEVELS, KEY, BATCH = 5, 4 / 7, 4 << 20
 
 
-def symbols(names: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name, lo and hi of the symbols of words with hashes ``names``; lo and hi never decrease.
+class Symbols:
+    """The symbols of words with hashes ``names`` (two arrays): names, start (first word), lo and hi, none of which
+    ever decreases.
 
     An interval that reaches over a text's edge (to a neighbour that isn't there) ends outside the text.
     """
-    n = len(names)
-    if not n:
-        return names, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        begins = np.append(True, (names[1:] != names[:-1]) | (doc[1:] != doc[:-1]))
+
+    def __init__(self, names: tuple[np.ndarray, np.ndarray], doc: np.ndarray, levels: int):
+        n = len(doc)
+        begins = np.append(True, (names[0][1:] != names[0][:-1]) | (doc[1:] != doc[:-1])) if n else np.zeros(0, bool)
         at = np.flatnonzero(begins)
-        length = np.diff(np.append(at, n))
-        name = np.where(length > 1, mix(names[at] * BASES[0] + length.astype(np.uint64)), names[at])
-        lo, hi, doc = at - 1, at + length + 1, doc[at]  # a run ends where its neighbours differ
-        for r in range(rounds):
-            right = mix(name ^ np.uint64(r + 1) * BASES[1]) >> np.uint64(63) == 1
-            beside = np.append(doc[1:] == doc[:-1], False)  # a neighbour follows in the same text
-            joins = beside & ~right & np.append(right[1:], False)
-            joined = np.append(False, joins[:-1])
-            next_hi = np.where(beside, np.append(hi[1:], 0), hi)
-            last_lo = np.where(np.append(False, beside[:-1]), np.append(0, lo[:-1]), lo)
-            new_hi = np.where(~right, next_hi, hi)  # joined or not, a left one has looked at what follows
-            new_lo = np.where(right, last_lo, lo)
-            pair = mix(name * BASES[0] + np.append(name[1:], np.uint64(0)) * BASES[1] + np.uint64(r))
-            name = np.where(joins, pair, name)[~joined]
-            lo, hi, doc = new_lo[~joined], new_hi[~joined], doc[~joined]
-    return name, lo, hi
+        length = np.diff(np.append(at, n)) if n else at
+        with np.errstate(over="ignore"):
+            named = [np.where(length > 1, mix(x[at] * BASES[0] + length.astype(np.uint64)), x[at]) for x in names]
+            start, lo, hi, doc = at, at - 1, at + length + 1, doc[at]  # a run ends where its neighbours differ
+            for r in range(levels if n else 0):
+                right = mix(named[0] ^ np.uint64(r + 1) * BASES[1]) >> np.uint64(63) == 1
+                beside = np.append(doc[1:] == doc[:-1], False)  # a neighbour follows in the same text
+                joins = beside & ~right & np.append(right[1:], False)
+                stays = ~np.append(False, joins[:-1])
+                next_hi = np.where(beside, np.append(hi[1:], 0), hi)
+                last_lo = np.where(np.append(False, beside[:-1]), np.append(0, lo[:-1]), lo)
+                new_hi = np.where(~right, next_hi, hi)  # joined or not, a left one has looked at what follows
+                new_lo = np.where(right, last_lo, lo)
+                named = [np.where(joins, mix(x * BASES[0] + np.append(x[1:], np.uint64(0)) * BASES[1] + np.uint64(r)), x)[stays] for x in named]
+                start, lo, hi, doc = start[stays], new_lo[stays], new_hi[stays], doc[stays]
+        self.names, self.start, self.lo, self.hi = named, start, lo, hi
+
+
+class Ranges:
+    """A hash of any range of a sequence of names: prefix sums of names times powers of an odd base, modulo 2**64."""
+
+    def __init__(self, names: np.ndarray, base: np.uint64):
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.append(np.uint64(1), np.full(len(names), base, np.uint64)))
+            self.back = np.cumprod(np.append(np.uint64(1), np.full(len(names), pow(int(base), -1, 1 << 64), np.uint64)))
+            self.sums = np.append(np.uint64(0), np.cumsum(names * powers[:-1]))
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hashes of the ranges [begin, end), which tell their lengths apart."""
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(np.uint64) * BASES[1])
 
 
 class Batch:
-    """A batch's words, windows and anchors. Windows are named by their first word's number."""
+    """A batch's words, windows and phrases. Windows are named by their first word's number."""
 
-    def __init__(self, texts: pa.Array, window: int, rounds: int):
+    def __init__(self, texts: pa.Array, window: int, levels: int):
         self.words = w = Words(texts)
         self.window = window
         self.hashes = w.hashes()
-        starts = np.repeat(w.first, np.maximum(w.count - window + 1, 0))
         many = np.maximum(w.count - window + 1, 0)
+        starts = np.repeat(w.first, many)
         self.starts = starts + np.arange(len(starts)) - np.repeat(np.cumsum(many) - many, many)
-        name, lo, hi = symbols(self.hashes[0], w.doc, rounds)
-        width = max(1, int(window * KEY))
-        j = np.searchsorted(lo, self.starts)
-        fits = j < len(lo)
-        j = np.minimum(j, max(len(lo) - 1, 0))
+        self.symbols = s = Symbols(self.hashes, w.doc, levels)
+        self.width = max(1, int(window * KEY))
+        j = np.searchsorted(s.lo, self.starts)
+        fits = j < len(s.lo)
+        j = np.minimum(j, max(len(s.lo) - 1, 0))
         if len(self.starts):
-            fits &= (hi[j] <= self.starts + window) & (lo[j] + width <= self.starts + window)
-        self.anchored = fits  # per window
-        used = np.unique(j[fits])
-        with np.errstate(over="ignore"):
-            keys = mix(name[used] * BASES[1] + rolling(self.hashes[0], width, BASES[0])[lo[used]]) if len(used) else np.zeros(0, np.uint64)
-        self.of_window = np.searchsorted(used, j[fits])  # number of the anchor, per anchored window
-        self.keys, self.key_of, self.key_counts = np.unique(keys, return_inverse=True, return_counts=True)
+            fits &= (s.hi[j] <= self.starts + window) & (s.lo[j] + self.width <= self.starts + window)
+        self.anchored, self.anchor = fits, j  # per window
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors in use, in order, and the names of their phrases."""
+        s = self.symbols
+        used = np.unique(self.anchor[self.anchored])
+        last = np.maximum(np.searchsorted(s.hi, s.lo[used] + self.width, side="right"), used + 1)
+        return used, Ranges(s.names[0], BASES[1]).of(used, last)
+
+    def asked(self, living: np.ndarray) -> np.ndarray:
+        """Windows without an anchor and those whose phrase is among the sorted names ``living``."""
+        used, names = self.phrases()
+        ask = ~self.anchored
+        ask[self.anchored] = _among(names, living)[np.searchsorted(used, self.anchor[self.anchored])]
+        return np.flatnonzero(ask)
+
+    def names(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names (64 and 32 bits) of windows, from their symbols and the words on either side of these."""
+        s, begin = self.symbols, self.starts[windows]
+        end, some = begin + self.window, self.anchored[windows]
+        ends = np.append(s.start[1:], len(self.words.doc))
+        first = np.where(some, self.anchor[windows], 0)
+        last = np.where(some, np.searchsorted(s.hi, end, side="right"), 0)  # one after the last symbol inside
+        low = np.where(some, s.start[first], end) if len(s.start) else end
+        high = np.where(some, ends[np.maximum(last - 1, 0)], end)
+        out = []
+        for i, base in enumerate(BASES):
+            words, inside = Ranges(self.hashes[i], base), Ranges(s.names[i], base)
+            with np.errstate(over="ignore"):
+                out.append(mix(mix(words.of(begin, low) * BASES[0] + inside.of(first, last)) * BASES[1] + words.of(high, end)))
+        return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+
+def _among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(known, names)
+    return (at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] == names) if len(known) else np.zeros(len(names), bool)
+
+
+def _both_among(names: tuple[np.ndarray, np.ndarray], known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether pairs are among ``known`` ones, of which hardly two agree in their first part."""
+    order = np.lexsort(known[::-1])
+    first, second = known[0][order], known[1][order]
+    at, out = np.searchsorted(first, names[0]), np.zeros(len(names[0]), bool)
+    for _ in range(int(np.unique(first, return_counts=True)[1].max())):
+        here = np.minimum(at, len(first) - 1)
+        out |= (at < len(first)) & (first[here] == names[0]) & (second[here] == names[1])
+        at = at + 1
+    return out
+
+
+def _sent(b: int, *names: np.ndarray) -> pa.Table:
+    """The batch's distinct names, and whether they occur more than once in it."""
+    order = np.lexsort(names[::-1])
+    parts = [x[order] for x in names]
+    new = np.append(True, np.any([x[1:] != x[:-1] for x in parts], axis=0)) if len(order) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    columns = [parts[0][at].view(np.int64), *[x[at].view(np.int32) for x in parts[1:]]]
+    twice = np.diff(np.append(at, len(order))) > 1
+    return pa.table([pa.array(np.full(len(at), b, np.int64)), *[pa.array(c) for c in columns], pa.array(twice)], names=["b", "n1", "n2"][: 1 + len(names)] + ["twice"])
+
+
+def repeated(sent: DataFrame, *names: str) -> DataFrame:
+    """b and names of the rows whose name another batch has sent too, or which occur twice in their own.
+
+    A name has one row a batch at most, so no key grows with its occurrences.
+    """
+    w = Window.partitionBy(*names)
+    return sent.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n > 1 or twice").select("b", *names)
 
-    def window_hashes(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct 96-bit hashes (in two arrays, sorted), their counts, the windows in question and theirs' numbers.
 
-        repeated: a bit a key of ``keys``.
-        """
-        ask = ~self.anchored
-        ask[self.anchored] = repeated[self.key_of[self.of_window]]
-        windows = np.flatnonzero(ask)
-        first = rolling(self.hashes[0], self.window, BASES[0])[self.starts[windows]]
-        second = (rolling(self.hashes[1], self.window, BASES[1])[self.starts[windows]] >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((second, first))
-        a, b = first[order], second[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-        number = np.empty(len(a), np.int64)
-        number[order] = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
-        return a[at], b[at], np.diff(np.append(at, len(a))), windows, number
-
-
-ASKED = "bucket int, b long, a binary, c binary, twice binary"
-ANSWERED = "b long, bucket int, mask binary"
-
-
-def _asked(b: int, buckets: int, first: np.ndarray, second: np.ndarray | None, counts: np.ndarray) -> pa.Table:
-    """A row a bucket with the batch's sorted distinct hashes there, and which occur more than once in the batch."""
-    of = ((first >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of)) if len(of) else np.zeros(0, np.int64)
-    rows, i = [], 0
-    for j in ends.tolist():
-        rows.append((int(of[i]), b, first[i:j].tobytes(), second[i:j].tobytes() if second is not None else b"", np.packbits(counts[i:j] > 1).tobytes()))
-        i = j
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=["bucket", "b", "a", "c", "twice"])
-
-
-def judged(asked: pa.Table) -> pa.Table:
-    """Answers all rows of one bucket: for each hash, whether it occurs anywhere else."""
-    lists = [np.frombuffer(x, "<u8") for x in asked.column("a").to_pylist()]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    first = np.concatenate(lists)
-    other = asked.column("c").to_pylist()
-    second = np.concatenate([np.frombuffer(x, "<u4") for x in other]) if other and other[0] else np.zeros(len(first), np.uint32)
-    del lists, other
-    found = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(asked.column("twice").to_pylist(), sizes, strict=True)]).astype(bool)
-    order = np.lexsort((second, first)) if second.any() else np.argsort(first, kind="stable")
-    a, b = first[order], second[order]
-    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    again = np.append(False, same) | np.append(same, False)
-    found[order[again]] = True
-    masks = [np.packbits(x).tobytes() for x in np.split(found, np.cumsum(sizes)[:-1])]
-    return pa.Table.from_arrays([asked.column("b"), asked.column("bucket"), pa.array(masks, pa.binary())], names=["b", "bucket", "mask"])
-
-
-def _answers(mask: pa.Table, buckets: int, first: np.ndarray) -> np.ndarray:
-    """The answers to a batch's sorted distinct hashes."""
-    if not len(first):
-        return np.zeros(0, bool)
-    of = ((first >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    by = dict(zip(mask.column("bucket").to_pylist(), mask.column("mask").to_pylist(), strict=True))
-    present, counts = np.unique(of, return_counts=True)
-    return np.concatenate([np.unpackbits(np.frombuffer(by[k], np.uint8), count=n) for k, n in zip(present.tolist(), counts.tolist(), strict=True)]).astype(bool)
-
-
-def without_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] = (), batch_bytes: int = BATCH, bucket_bytes: int = BUCKET) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] = (), batch_bytes: int = BATCH) -> DataFrame:
     """doc_id, ``carry``, n_words, n_removed, kept (the words that stay, joined by one blank)."""
     spark = docs.sparkSession
     df = documents(docs, *carry)
-    total, parts = text_bytes(df), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batches, buckets = max(-(-total // batch_bytes), parts), max(-(-total // bucket_bytes), parts)
-    df = df.withColumn("b", F.pmod(F.xxhash64("rid", "doc_id"), F.lit(batches))).drop("rid")
+    batches = max(-(-text_bytes(df) // batch_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches))
+    df = written(df.drop("rid").withColumn("b", place), "batches")
     kept = [f for f in df.schema.fields if f.name not in ("text", "b")]
-    rounds = ROUNDS if window >= 24 else 0
+    levels = LEVELS if window >= 24 else 0
 
     def load(table: pa.Table) -> Batch:
-        return Batch(table.column("text").combine_chunks(), window, rounds)
+        return Batch(table.column("text").combine_chunks(), window, levels)
 
-    def keys(table: pa.Table) -> pa.Table:
-        batch = load(table)
-        return _asked(table.column("b")[0].as_py(), buckets, batch.keys, None, batch.key_counts)
+    def phrases(table: pa.Table) -> pa.Table:
+        return _sent(table.column("b")[0].as_py(), load(table).phrases()[1])
 
-    def windows(table: pa.Table, mask: pa.Table) -> pa.Table:
+    def windows(table: pa.Table, living: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _asked(0, buckets, np.zeros(0, np.uint64), None, np.zeros(0, np.int64))
+            return _sent(0, np.zeros(0, np.uint64), np.zeros(0, np.uint32))
         batch = load(table)
-        first, second, counts, _, _ = batch.window_hashes(_answers(mask, buckets, batch.keys))
-        return _asked(table.column("b")[0].as_py(), buckets, first, second, counts)
+        return _sent(table.column("b")[0].as_py(), *batch.names(batch.asked(np.sort(living.column("n1").to_numpy().view(np.uint64)))))
 
-    def result(table: pa.Table, mask: pa.Table, mask2: pa.Table) -> pa.Table:
+    def result(table: pa.Table, found: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.Table.from_batches([], schema=pa.schema([]))
         batch = load(table)
-        w = batch.words
-        first, _, _, ask, number = batch.window_hashes(_answers(mask, buckets, batch.keys))
-        hit = batch.starts[ask[_answers(mask2, buckets, first)[number]]] if len(ask) else np.zeros(0, np.int64)
+        w, hit = batch.words, np.zeros(0, np.int64)
+        if found.num_rows:
+            known = found.column("n1").to_numpy().view(np.uint64), found.column("n2").to_numpy().view(np.uint32)
+            hit = batch.starts[_both_among(batch.names(np.arange(len(batch.starts))), known)]
         edge = np.zeros(len(w.doc) + 1, np.int64)
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + window, -1)
@@ -190,22 +210,11 @@ def without_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] =
         columns = [table.column(f.name) for f in kept] + [pa.array(w.count), pa.array(removed), joined(w, stays)]
         return pa.Table.from_arrays(columns, names=[f.name for f in kept] + ["n_words", "n_removed", "kept"])
 
-    def tagged(mask: DataFrame, step: int) -> DataFrame:
-        return mask.withColumn("step", F.lit(step))
-
-    def last(table: pa.Table, masks: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.Table.from_batches([], schema=pa.schema([]))
-        step = masks.column("step").to_numpy()
-        return result(table, masks.filter(pa.array(step == 1)), masks.filter(pa.array(step == 2)))
-
     by_batch = df.groupBy("b")
-    known = by_batch.applyInArrow(keys, ASKED).groupBy("bucket").applyInArrow(judged, ANSWERED)
-    asked = by_batch.cogroup(known.groupBy("b")).applyInArrow(windows, ASKED)
-    repeated = asked.groupBy("bucket").applyInArrow(judged, ANSWERED)
-    masks = tagged(known, 1).unionByName(tagged(repeated, 2))
+    living = repeated(by_batch.applyInArrow(phrases, "b long, n1 long, twice boolean"), "n1")
+    named = by_batch.cogroup(living.groupBy("b")).applyInArrow(windows, "b long, n1 long, n2 int, twice boolean")
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return by_batch.cogroup(masks.groupBy("b")).applyInArrow(last, schema)
+    return by_batch.cogroup(repeated(named, "n1", "n2").groupBy("b")).applyInArrow(result, schema)
 
 
 def joined(words: Words, stays: np.ndarray) -> pa.Array:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quadrille.llm import jaccard_join as x
+from quadrille.llm._shared import BASES, rolling
 
 SCHEMA = "doc_id long, text string, Node string, copies string"
 
@@ -90,3 +91,12 @@ def test_sketches_agree_as_often_as_sets_are_similar():
     b = np.concatenate([a[:3600], rng.integers(0, 2**63, 400).astype(np.uint64)])
     s = x.sketches(np.concatenate([a, b]), np.repeat([0, 2], 4000), 3)
     assert abs((s[0] == s[2]).mean() - 3600 / 4400) < 0.15 and (s[1] == 0).all()
+
+
+def test_rolling_hashes_equal_only_equal_runs():
+    words = np.random.default_rng(1).integers(0, 3, 3000).astype(np.uint64) * BASES[1]
+    h = rolling(words, 6, BASES[0])
+    by = {}
+    for i in range(len(h)):
+        by.setdefault(tuple(words[i : i + 6].tolist()), set()).add(int(h[i]))
+    assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)

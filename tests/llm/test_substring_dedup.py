@@ -3,10 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quadrille.llm import substring_dedup as x
-from quadrille.llm._shared import rolling
 
 SCHEMA = "doc_id long, text string, B string, kept string"
 
@@ -42,7 +42,7 @@ def corpus(rng, window):
 def test_against_brute_force(spark, window, seed):
     rows = corpus(random.Random(seed), window)
     docs = spark.createDataFrame([(*r, "b", "k") for r in rows], SCHEMA).repartition(3)
-    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in x.without_repeats(docs, window, batch_bytes=3000, bucket_bytes=9000).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in x.without_repeats(docs, window, batch_bytes=3000).collect()), key=repr)
     assert got == brute(rows, window)
 
 
@@ -53,20 +53,44 @@ def test_symbols_follow_from_the_words_of_their_interval():
     for _ in range(30):
         before, after = rng.integers(0, 40, rng.integers(0, 9)), rng.integers(0, 40, rng.integers(0, 9))
         words = np.concatenate([before, core, after]).astype(np.uint64) * x.BASES[0]
-        name, lo, hi = x.symbols(words, np.zeros(len(words), np.int64), 5)
-        assert (np.diff(lo) >= 0).all() and (np.diff(hi) >= 0).all()
-        inside = (lo >= len(before)) & (hi <= len(before) + 60)
-        found.append({(int(n), int(a) - len(before), int(b) - len(before)) for n, a, b in zip(name[inside], lo[inside], hi[inside], strict=True)})
+        s = x.Symbols((words, words * x.BASES[1]), np.zeros(len(words), np.int64), 5)
+        assert all((np.diff(v) >= 0).all() for v in (s.start, s.lo, s.hi))
+        inside = (s.lo >= len(before)) & (s.hi <= len(before) + 60)
+        found.append({tuple(int(v) for v in r) for r in np.column_stack([s.names[0], s.names[1], s.start - len(before), s.lo - len(before), s.hi - len(before)])[inside].astype(object)})
     assert all(f == found[0] for f in found) and found[0]
 
 
-def test_rolling_hashes_equal_only_equal_runs():
-    words = np.random.default_rng(1).integers(0, 3, 3000).astype(np.uint64) * x.BASES[1]
-    h = rolling(words, 6, x.BASES[0])
-    by = {}
-    for i in range(len(h)):
-        by.setdefault(tuple(words[i : i + 6].tolist()), set()).add(int(h[i]))
-    assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
+def test_windows_have_one_name_just_where_their_words_are_equal():
+    rng = random.Random(4)
+    parts = [" ".join(rng.choice("abc") for _ in range(50)) for _ in range(5)]
+    texts = [" ".join([f"x{k}", rng.choice(parts), f"y{k}", rng.choice(parts), "z " * rng.randrange(60)]) for k in range(60)]
+    batch = x.Batch(pa.array(texts), 35, 5)
+    words = [w.decode() for w in batch.words.listed()]
+    flat = [words[c] for c in batch.words.codes]
+    of, back = {}, {}
+    for start, *name in zip(batch.starts.tolist(), *[n.tolist() for n in batch.names(np.arange(len(batch.starts)))], strict=True):
+        run = tuple(flat[start : start + 35])
+        assert of.setdefault(run, name) == name and back.setdefault(tuple(name), run) == run
+    assert len(of) < len(batch.starts) and batch.anchored.mean() > 0.5
+
+
+def test_a_third_of_all_rows_repeated(spark):
+    """Repeated rows, adjacent in one file, go to many batches, and each gets its row."""
+    rng = random.Random(6)
+    text = " ".join(f"v{rng.randrange(500)}" for _ in range(60))
+    docs = spark.createDataFrame([(1, text)] * 300 + [(i, f"{i} " * 3) for i in range(2, 602)], "doc_id long, text string").coalesce(1)
+    got = x.without_repeats(docs, 35, batch_bytes=2000).collect()
+    assert len(got) == 900 and all((r.n_words, r.n_removed) == (60, 60) for r in got if r.doc_id == 1)
+
+
+def test_query_has_the_contract_s_columns(spark):
+    df = x.op5_substring_dedup(spark, "/root/testdata/sf0.001")
+    assert df.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    import hashlib
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    want = [(i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute(docs, 35)]
+    assert sorted(map(tuple, df.collect())) == sorted(want)
 
 
 def test_empty_table(spark):
