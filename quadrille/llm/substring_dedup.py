@@ -8,8 +8,8 @@ halves (by a hash bit of name and level). A name is a function of the names it j
 the level), so all tasks agree on it, and a symbol depends only on the words in its interval [lo, hi), which is
 tracked. Hence equal windows have the same symbols inside, wherever they stand.
 
-Rounds. (1) A window's anchor is its first symbol whose interval it holds; its phrase is the anchor with the symbols
-after it that ``KEY`` words from lo on decide. Batches of documents send the names of their distinct phrases, and Spark
+Rounds. (1) A window's anchor is the least name among the symbols whose interval it holds, if ``KEY`` words from their
+lo on are inside, too; its phrase is the anchor with the symbols after it that these words decide. Batches of documents send the names of their distinct phrases, and Spark
 tells which name occurs anywhere else. A phrase with one place is dead: no window with it is repeated. (2) Windows with
 a living phrase, and windows without an anchor (in long runs of one word), are named by what makes them up: the words
 before their first symbol, their symbols, the words after their last one. As symbols stand for their words, two windows
@@ -97,12 +97,17 @@ class Batch:
         self.starts = starts + np.arange(len(starts)) - np.repeat(np.cumsum(many) - many, many)
         self.symbols = s = Symbols(self.hashes, w.doc, levels)
         self.width = max(1, int(window * KEY))
-        j = np.searchsorted(s.lo, self.starts)
-        fits = j < len(s.lo)
-        j = np.minimum(j, max(len(s.lo) - 1, 0))
-        if len(self.starts):
-            fits &= (s.hi[j] <= self.starts + window) & (s.lo[j] + self.width <= self.starts + window)
-        self.anchored, self.anchor = fits, j  # per window
+        end = self.starts + window
+        # symbols inside a window: from first up to, without, last
+        self.first, self.last = np.searchsorted(s.lo, self.starts), np.searchsorted(s.hi, end, side="right")
+        # the anchor: the least name among those of them with a phrase inside
+        stop = np.minimum(self.last, np.searchsorted(s.lo, end - self.width, side="right"))
+        self.anchored = stop > self.first
+        self.anchor = np.where(self.anchored, self.first, 0)
+        for step in range(1, int((stop - self.first).max(initial=0))):
+            other = np.minimum(self.first + step, max(len(s.lo) - 1, 0))
+            less = (self.first + step < stop) & (s.names[0][other] < s.names[0][self.anchor])
+            self.anchor[less] = other[less]
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray]:
         """Anchors in use, in order, and the names of their phrases."""
@@ -112,21 +117,20 @@ class Batch:
         return used, Ranges(s.names[0], BASES[1]).of(used, last)
 
     def asked(self, living: np.ndarray) -> np.ndarray:
-        """Windows without an anchor and those whose phrase is among the sorted names ``living``."""
+        """Windows without an anchor, and those whose phrase is ``living`` (a bit a distinct phrase, by name)."""
         used, names = self.phrases()
+        _, _, number = ranked(names)
         ask = ~self.anchored
-        ask[self.anchored] = _among(names, living)[np.searchsorted(used, self.anchor[self.anchored])]
+        ask[self.anchored] = living[number][np.searchsorted(used, self.anchor[self.anchored])]
         return np.flatnonzero(ask)
 
     def names(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Names (64 and 32 bits) of windows, from their symbols and the words on either side of these."""
-        s, begin = self.symbols, self.starts[windows]
-        end, some = begin + self.window, self.anchored[windows]
-        ends = np.append(s.start[1:], len(self.words.doc))
-        first = np.where(some, self.anchor[windows], 0)
-        last = np.where(some, np.searchsorted(s.hi, end, side="right"), 0)  # one after the last symbol inside
-        low = np.where(some, s.start[first], end) if len(s.start) else end
-        high = np.where(some, ends[np.maximum(last - 1, 0)], end)
+        s, begin, first, last = self.symbols, self.starts[windows], self.first[windows], self.last[windows]
+        end, none = begin + self.window, last <= first
+        low = np.append(s.start, 0)[first]
+        high = np.append(s.start, len(self.words.doc))[last]  # a symbol ends where the next one starts
+        low[none], high[none], first[none], last[none] = end[none], end[none], 0, 0
         out = []
         for i, base in enumerate(BASES):
             words, inside = Ranges(self.hashes[i], base), Ranges(s.names[i], base)
@@ -135,41 +139,48 @@ class Batch:
         return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
 
 
-def _among(names: np.ndarray, known: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(known, names)
-    return (at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] == names) if len(known) else np.zeros(len(names), bool)
+def ranked(first: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place of each distinct name (of one or two parts) in their order, how often each occurs, and the number of
+    each place's name."""
+    order = np.argsort(first)
+    new = np.append(True, first[order][1:] != first[order][:-1])[: len(order)]
+    if second is not None:
+        if ((second[order][1:] != second[order][:-1]) & ~new[1:]).any():  # hardly ever: other names with the same first part
+            order = np.lexsort([second, first])
+        new = np.append(True, (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1]))[: len(order)]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order))), number
 
 
-def _both_among(names: tuple[np.ndarray, np.ndarray], known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Whether pairs are among ``known`` ones, of which hardly two agree in their first part."""
-    order = np.lexsort(known[::-1])
-    first, second = known[0][order], known[1][order]
-    at, out = np.searchsorted(first, names[0]), np.zeros(len(names[0]), bool)
-    for _ in range(int(np.unique(first, return_counts=True)[1].max())):
-        here = np.minimum(at, len(first) - 1)
-        out |= (at < len(first)) & (first[here] == names[0]) & (second[here] == names[1])
-        at = at + 1
-    return out
+#: What a batch sends of a distinct name: 64 bits; 32 more (zero, if it has no more), its rank among the batch's names
+#: in 31, and whether it occurs more than once in the batch. As few columns as there can be, since rows are many.
+SENT = "b long, name long, rest long"
 
 
-def _sent(b: int, *names: np.ndarray) -> pa.Table:
-    """The batch's distinct names, and whether they occur more than once in it."""
-    order = np.lexsort(names[::-1])
-    parts = [x[order] for x in names]
-    new = np.append(True, np.any([x[1:] != x[:-1] for x in parts], axis=0)) if len(order) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    columns = [parts[0][at].view(np.int64), *[x[at].view(np.int32) for x in parts[1:]]]
-    twice = np.diff(np.append(at, len(order))) > 1
-    return pa.table([pa.array(np.full(len(at), b, np.int64)), *[pa.array(c) for c in columns], pa.array(twice)], names=["b", "n1", "n2"][: 1 + len(names)] + ["twice"])
+def _sent(b: int, first: np.ndarray, second: np.ndarray | None = None) -> pa.Table:
+    at, many, _ = ranked(first, second)
+    rest = np.arange(len(at), dtype=np.uint64) << np.uint64(1) | (many > 1).astype(np.uint64)
+    if second is not None:
+        rest |= second[at].astype(np.uint64) << np.uint64(32)
+    return pa.table({"b": np.full(len(at), b, np.int64), "name": first[at].view(np.int64), "rest": rest.view(np.int64)})
 
 
-def repeated(sent: DataFrame, *names: str) -> DataFrame:
-    """b and names of the rows whose name another batch has sent too, or which occur twice in their own.
+def repeated(sent: DataFrame) -> DataFrame:
+    """b and rank of the names that another batch has sent too, or which occur twice in their own.
 
     A name has one row a batch at most, so no key grows with its occurrences.
     """
-    w = Window.partitionBy(*names)
-    return sent.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n > 1 or twice").select("b", *names)
+    w = Window.partitionBy("name", F.shiftright("rest", 32))
+    hits = sent.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n > 1 or rest % 2 <> 0")
+    return hits.select("b", F.shiftright("rest", 1).bitwiseAND((1 << 31) - 1).cast("int").alias("rank"))
+
+
+def _bits(found: pa.Table, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[found.column("rank").to_numpy()] = True
+    return out
 
 
 def without_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] = (), batch_bytes: int = BATCH) -> DataFrame:
@@ -188,20 +199,23 @@ def without_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] =
     def phrases(table: pa.Table) -> pa.Table:
         return _sent(table.column("b")[0].as_py(), load(table).phrases()[1])
 
+    def asked(batch: Batch, living: pa.Table) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        windows = batch.asked(_bits(living, len(batch.symbols.start)))
+        return windows, batch.names(windows)
+
     def windows(table: pa.Table, living: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _sent(0, np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-        batch = load(table)
-        return _sent(table.column("b")[0].as_py(), *batch.names(batch.asked(np.sort(living.column("n1").to_numpy().view(np.uint64)))))
+            return _sent(0, np.zeros(0, np.uint64))
+        return _sent(table.column("b")[0].as_py(), *asked(load(table), living)[1])
 
     def result(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_batches([], schema=pa.schema([]))
-        batch = load(table)
-        w, hit = batch.words, np.zeros(0, np.int64)
-        if found.num_rows:
-            known = found.column("n1").to_numpy().view(np.uint64), found.column("n2").to_numpy().view(np.uint32)
-            hit = batch.starts[_both_among(batch.names(np.arange(len(batch.starts))), known)]
+        batch, round_of = load(table), found.column("round").to_numpy()
+        w = batch.words
+        ask, names = asked(batch, found.filter(pa.array(round_of == 1)))
+        at, _, number = ranked(*names)
+        hit = batch.starts[ask[_bits(found.filter(pa.array(round_of == 2)), len(at))[number]]]
         edge = np.zeros(len(w.doc) + 1, np.int64)
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + window, -1)
@@ -211,10 +225,11 @@ def without_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] =
         return pa.Table.from_arrays(columns, names=[f.name for f in kept] + ["n_words", "n_removed", "kept"])
 
     by_batch = df.groupBy("b")
-    living = repeated(by_batch.applyInArrow(phrases, "b long, n1 long, twice boolean"), "n1")
-    named = by_batch.cogroup(living.groupBy("b")).applyInArrow(windows, "b long, n1 long, n2 int, twice boolean")
+    living = repeated(by_batch.applyInArrow(phrases, SENT))
+    found = repeated(by_batch.cogroup(living.groupBy("b")).applyInArrow(windows, SENT))
+    answers = living.withColumn("round", F.lit(1)).unionByName(found.withColumn("round", F.lit(2)))
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return by_batch.cogroup(repeated(named, "n1", "n2").groupBy("b")).applyInArrow(result, schema)
+    return by_batch.cogroup(answers.groupBy("b")).applyInArrow(result, schema)
 
 
 def joined(words: Words, stays: np.ndarray) -> pa.Array:
