@@ -9,12 +9,14 @@ the level), so all tasks agree on it, and a symbol depends only on the words in
 tracked. Hence equal windows have the same symbols inside, wherever they stand.
 
 Rounds. (1) A window's anchor is the least name among the symbols whose interval it holds, if ``KEY`` words from their
-lo on are inside, too; its phrase is the anchor with the symbols after it that these words decide. Batches of documents send the names of their distinct phrases, and Spark
-tells which name occurs anywhere else. A phrase with one place is dead: no window with it is repeated. (2) Windows with
-a living phrase, and windows without an anchor (in long runs of one word), are named by what makes them up: the words
-before their first symbol, their symbols, the words after their last one. As symbols stand for their words, two windows
-have one name just where their words are equal (but for one chance in 2**96 a pair). Spark tells which of these names
-occur anywhere else. (3) Words under such windows go.
+lo on are inside, too; its phrase is the anchor with the symbols after it that these words decide. The windows of an
+anchor follow each other; all their words are its context. Contexts and windows are named by what makes them up: the
+words before their first symbol, their symbols, the words after their last one. Batches of documents send the names of
+their distinct phrases and contexts, and Spark tells what other places have. A phrase with one place is dead: no window
+with it is repeated. One whose places all have one context is uniform: all its windows are repeated. (2) The other
+living phrases' windows, and windows without an anchor (in long runs of one word), are sent by name, and Spark tells
+which names occur anywhere else. As symbols stand for their words, two windows have one name just where their words are
+equal (but for one chance in 2**96 a pair). (3) Words under windows of uniform phrases and repeated names go.
 
 Messages are flat rows, a name each, sorted by name in the JVM: linear in the words at every size, in no task more
 than one row a batch for the most frequent name. A batch sends a name once, however often it occurs there, so a
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,16 +60,19 @@ class Symbols:
             named = [np.where(length > 1, mix(x[at] * BASES[0] + length.astype(np.uint64)), x[at]) for x in names]
             start, lo, hi, doc = at, at - 1, at + length + 1, doc[at]  # a run ends where its neighbours differ
             for r in range(levels if n else 0):
-                right = mix(named[0] ^ np.uint64(r + 1) * BASES[1]) >> np.uint64(63) == 1
-                beside = np.append(doc[1:] == doc[:-1], False)  # a neighbour follows in the same text
-                joins = beside & ~right & np.append(right[1:], False)
-                stays = ~np.append(False, joins[:-1])
-                next_hi = np.where(beside, np.append(hi[1:], 0), hi)
-                last_lo = np.where(np.append(False, beside[:-1]), np.append(0, lo[:-1]), lo)
-                new_hi = np.where(~right, next_hi, hi)  # joined or not, a left one has looked at what follows
-                new_lo = np.where(right, last_lo, lo)
-                named = [np.where(joins, mix(x * BASES[0] + np.append(x[1:], np.uint64(0)) * BASES[1] + np.uint64(r)), x)[stays] for x in named]
-                start, lo, hi, doc = start[stays], new_lo[stays], new_hi[stays], doc[stays]
+                left = (named[0] * (BASES[1] + np.uint64(2 * r))) >> np.uint64(63) == 0
+                beside = doc[1:] == doc[:-1]  # a neighbour follows in the same text
+                looked, other = np.flatnonzero(left[:-1] & beside), np.flatnonzero(~left[1:] & beside) + 1
+                new_hi, new_lo = hi.copy(), lo.copy()
+                new_hi[looked] = hi[looked + 1]  # joined or not, a left one has looked at what follows
+                new_lo[other] = lo[other - 1]
+                joins = looked[~left[looked + 1]]
+                for x in named:
+                    x[joins] = mix(x[joins] * BASES[0] + x[joins + 1] * BASES[1] + np.uint64(r))
+                stays = np.ones(len(left), bool)
+                stays[joins + 1] = False
+                named = [x[stays] for x in named]
+                start, doc, lo, hi = start[stays], doc[stays], new_lo[stays], new_hi[stays]
         self.names, self.start, self.lo, self.hi = named, start, lo, hi
 
 
@@ -99,9 +105,12 @@ class Batch:
         self.width = max(1, int(window * KEY))
         end = self.starts + window
         # symbols inside a window: from first up to, without, last
-        self.first, self.last = np.searchsorted(s.lo, self.starts), np.searchsorted(s.hi, end, side="right")
+        n = len(w.doc)
+        below = np.append(0, np.cumsum(np.bincount(s.lo + 1, minlength=n + 2)))  # symbols whose lo is less than k - 1, at k
+        until = np.cumsum(np.bincount(s.hi, minlength=n + 2))  # symbols whose hi is at most k, at k
+        self.first, self.last = below[self.starts + 1], until[end]
         # the anchor: the least name among those of them with a phrase inside
-        stop = np.minimum(self.last, np.searchsorted(s.lo, end - self.width, side="right"))
+        stop = np.minimum(self.last, below[end - self.width + 2])
         self.anchored = stop > self.first
         self.anchor = np.where(self.anchored, self.first, 0)
         for step in range(1, int((stop - self.first).max(initial=0))):
@@ -109,34 +118,47 @@ class Batch:
             less = (self.first + step < stop) & (s.names[0][other] < s.names[0][self.anchor])
             self.anchor[less] = other[less]
 
-    def phrases(self) -> tuple[np.ndarray, np.ndarray]:
-        """Anchors in use, in order, and the names of their phrases."""
-        s = self.symbols
-        used = np.unique(self.anchor[self.anchored])
-        last = np.maximum(np.searchsorted(s.hi, s.lo[used] + self.width, side="right"), used + 1)
-        return used, Ranges(s.names[0], BASES[1]).of(used, last)
-
-    def asked(self, living: np.ndarray) -> np.ndarray:
-        """Windows without an anchor, and those whose phrase is ``living`` (a bit a distinct phrase, by name)."""
-        used, names = self.phrases()
-        _, _, number = ranked(names)
-        ask = ~self.anchored
-        ask[self.anchored] = living[number][np.searchsorted(used, self.anchor[self.anchored])]
-        return np.flatnonzero(ask)
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The anchor's number of each anchored window, and for each anchor in use, in order, the names of its phrase and
+        of its context: all words of the windows that it anchors, which follow each other."""
+        s, own = self.symbols, np.flatnonzero(self.anchored)
+        anchor = self.anchor[own]
+        new = np.append(True, anchor[1:] != anchor[:-1])[: len(own)]
+        at = np.flatnonzero(new)
+        used = anchor[at]
+        stop = np.maximum(np.searchsorted(s.hi, s.lo[used] + self.width, side="right"), used + 1)
+        low, high = own[at], own[np.append(at[1:], len(own)) - 1] if len(own) else own
+        context = self._name(0, self.starts[low], self.starts[high] + self.window, self.first[low], self.last[high])
+        return np.cumsum(new) - 1, Ranges(s.names[0], BASES[1]).of(used, stop), context
+
+    def _name(self, part: int, begin: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Names of the words [begin, end) with the symbols [first, last) inside: of the words before the symbols, the
+        symbols, and the words after."""
+        s, none = self.symbols, last <= first
+        low = np.where(none, end, np.append(s.start, 0)[first])
+        high = np.where(none, end, np.append(s.start, len(self.words.doc))[last])  # a symbol ends where the next one starts
+        first, last = np.where(none, 0, first), np.where(none, 0, last)
+        words, inside = Ranges(self.hashes[part], BASES[part]), Ranges(s.names[part], BASES[part])
+        with np.errstate(over="ignore"):
+            return mix(mix(words.of(begin, low) * BASES[0] + inside.of(first, last)) * BASES[1] + words.of(high, end))
 
     def names(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Names (64 and 32 bits) of windows, from their symbols and the words on either side of these."""
-        s, begin, first, last = self.symbols, self.starts[windows], self.first[windows], self.last[windows]
-        end, none = begin + self.window, last <= first
-        low = np.append(s.start, 0)[first]
-        high = np.append(s.start, len(self.words.doc))[last]  # a symbol ends where the next one starts
-        low[none], high[none], first[none], last[none] = end[none], end[none], 0, 0
-        out = []
-        for i, base in enumerate(BASES):
-            words, inside = Ranges(self.hashes[i], base), Ranges(s.names[i], base)
-            with np.errstate(over="ignore"):
-                out.append(mix(mix(words.of(begin, low) * BASES[0] + inside.of(first, last)) * BASES[1] + words.of(high, end)))
-        return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+        """Names (64 and 32 bits) of windows."""
+        begin = self.starts[windows]
+        one, two = (self._name(k, begin, begin + self.window, self.first[windows], self.last[windows]) for k in range(2))
+        return one, (two >> np.uint64(32)).astype(np.uint32)
+
+    def judged(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows whose phrase is uniform, and windows to ask for: without an anchor, or with a phrase that lives but is
+        not uniform. ``answers``: UNIQUE, LIVING or UNIFORM, a distinct phrase by name."""
+        anchor, names, _ = self.phrases()
+        kind = np.full(len(self.starts), LIVING, np.int8)
+        kind[self.anchored] = answers[ranked(names)[2]][anchor]
+        return np.flatnonzero(kind == UNIFORM), np.flatnonzero(kind == LIVING)
+
+
+#: What is known of a phrase: one place has it; several have it; several have it, in one context.
+UNIQUE, LIVING, UNIFORM = 0, 1, 2
 
 
 def ranked(first: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,33 +176,45 @@ def ranked(first: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndar
     return order[at], np.diff(np.append(at, len(order))), number
 
 
-#: What a batch sends of a distinct name: 64 bits; 32 more (zero, if it has no more), its rank among the batch's names
-#: in 31, and whether it occurs more than once in the batch. As few columns as there can be, since rows are many.
-SENT = "b long, name long, rest long"
+#: What a batch sends of a distinct phrase: its name and context; its rank among the batch's phrases, and in the lowest
+#: bits whether it occurs more than once in the batch and whether its contexts differ there.
+PHRASES = "b long, name long, context long, rest int"
+#: What a batch sends of a distinct window: 64 bits of its name; 32 more, its rank among the batch's windows in 31, and
+#: whether it occurs more than once in the batch. As few columns as there can be, since rows are many.
+WINDOWS = "b long, name long, rest long"
+
+
+def _phrases(b: int, names: np.ndarray, contexts: np.ndarray) -> pa.Table:
+    at, many, number = ranked(names)
+    differ = np.zeros(len(at), bool)
+    differ[number[contexts != contexts[at][number]]] = True
+    rest = (np.arange(len(at)) << 2 | differ << 1 | (many > 1)).astype(np.int32)
+    return pa.table({"b": np.full(len(at), b, np.int64), "name": names[at].view(np.int64), "context": contexts[at].view(np.int64), "rest": rest})
 
 
-def _sent(b: int, first: np.ndarray, second: np.ndarray | None = None) -> pa.Table:
+def _windows(b: int, first: np.ndarray, second: np.ndarray) -> pa.Table:
     at, many, _ = ranked(first, second)
-    rest = np.arange(len(at), dtype=np.uint64) << np.uint64(1) | (many > 1).astype(np.uint64)
-    if second is not None:
-        rest |= second[at].astype(np.uint64) << np.uint64(32)
+    rest = second[at].astype(np.uint64) << np.uint64(32) | np.arange(len(at), dtype=np.uint64) << np.uint64(1) | (many > 1).astype(np.uint64)
     return pa.table({"b": np.full(len(at), b, np.int64), "name": first[at].view(np.int64), "rest": rest.view(np.int64)})
 
 
-def repeated(sent: DataFrame) -> DataFrame:
-    """b and rank of the names that another batch has sent too, or which occur twice in their own.
+def living_phrases(sent: DataFrame) -> DataFrame:
+    """b, rank and kind (LIVING or UNIFORM) of the phrases that more than one place has.
 
-    A name has one row a batch at most, so no key grows with its occurrences.
+    If all places have one context, each window of the phrase occurs in all of them. A name has one row a batch at
+    most, so no key grows with its occurrences.
     """
-    w = Window.partitionBy("name", F.shiftright("rest", 32))
-    hits = sent.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n > 1 or rest % 2 <> 0")
-    return hits.select("b", F.shiftright("rest", 1).bitwiseAND((1 << 31) - 1).cast("int").alias("rank"))
+    w = Window.partitionBy("name")
+    rows = sent.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_one", (F.min("context").over(w) == F.max("context").over(w)) & (F.max(F.col("rest").bitwiseAND(2)).over(w) == 0))
+    rows = rows.where("_n > 1 or rest % 2 <> 0")
+    return rows.select("b", F.shiftright("rest", 2).alias("rank"), F.when(F.col("_one"), UNIFORM).otherwise(LIVING).alias("kind"))
 
 
-def _bits(found: pa.Table, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[found.column("rank").to_numpy()] = True
-    return out
+def repeated_windows(sent: DataFrame) -> DataFrame:
+    """b and rank of the windows that another batch has sent too, or which occur twice in their own; kind is null."""
+    w = Window.partitionBy("name", F.shiftright("rest", 32))
+    hits = sent.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n > 1 or rest % 2 <> 0")
+    return hits.select("b", F.shiftright("rest", 1).bitwiseAND((1 << 31) - 1).cast("int").alias("rank"), F.lit(None).cast("int").alias("kind"))
 
 
 def without_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] = (), batch_bytes: int = BATCH) -> DataFrame:
@@ -197,25 +231,29 @@ def without_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] =
         return Batch(table.column("text").combine_chunks(), window, levels)
 
     def phrases(table: pa.Table) -> pa.Table:
-        return _sent(table.column("b")[0].as_py(), load(table).phrases()[1])
+        return _phrases(table.column("b")[0].as_py(), *load(table).phrases()[1:])
 
-    def asked(batch: Batch, living: pa.Table) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        windows = batch.asked(_bits(living, len(batch.symbols.start)))
-        return windows, batch.names(windows)
+    def judged(batch: Batch, living: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        answers = np.zeros(len(batch.symbols.start), np.int8)
+        answers[living.column("rank").to_numpy()] = living.column("kind").to_numpy()
+        return batch.judged(answers)
 
     def windows(table: pa.Table, living: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _sent(0, np.zeros(0, np.uint64))
-        return _sent(table.column("b")[0].as_py(), *asked(load(table), living)[1])
+            return _windows(0, np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        batch = load(table)
+        return _windows(table.column("b")[0].as_py(), *batch.names(judged(batch, living)[1]))
 
     def result(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_batches([], schema=pa.schema([]))
-        batch, round_of = load(table), found.column("round").to_numpy()
+        batch, of_phrase = load(table), pc.is_valid(found.column("kind"))
         w = batch.words
-        ask, names = asked(batch, found.filter(pa.array(round_of == 1)))
-        at, _, number = ranked(*names)
-        hit = batch.starts[ask[_bits(found.filter(pa.array(round_of == 2)), len(at))[number]]]
+        uniform, ask = judged(batch, found.filter(of_phrase))
+        at, _, number = ranked(*batch.names(ask))
+        again = np.zeros(len(at), bool)
+        again[found.filter(pc.invert(of_phrase)).column("rank").to_numpy()] = True
+        hit = batch.starts[np.concatenate([uniform, ask[again[number]]])]
         edge = np.zeros(len(w.doc) + 1, np.int64)
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + window, -1)
@@ -225,9 +263,8 @@ def without_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] =
         return pa.Table.from_arrays(columns, names=[f.name for f in kept] + ["n_words", "n_removed", "kept"])
 
     by_batch = df.groupBy("b")
-    living = repeated(by_batch.applyInArrow(phrases, SENT))
-    found = repeated(by_batch.cogroup(living.groupBy("b")).applyInArrow(windows, SENT))
-    answers = living.withColumn("round", F.lit(1)).unionByName(found.withColumn("round", F.lit(2)))
+    living = living_phrases(by_batch.applyInArrow(phrases, PHRASES))
+    answers = living.unionByName(repeated_windows(by_batch.cogroup(living.groupBy("b")).applyInArrow(windows, WINDOWS)))
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return by_batch.cogroup(answers.groupBy("b")).applyInArrow(result, schema)
 
