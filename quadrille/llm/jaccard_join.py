@@ -7,15 +7,18 @@ minima, in which two sets agree in a share that is their similarity on average.
 Paths. A run starts with all classes at its root. A node chooses coordinates by a hash of its path, 1 / threshold
 on average, and sends each class to the child that its minimum there names, so a pair at the threshold meets in
 one child on average however deep the recursion goes. Nodes of at most ``LEAF`` classes are compared by brute
-force. In larger ones all are first compared with one class chosen by hash: what is much like it gets an edge, what
-is almost equal to it leaves, as whatever is similar to that gets the same edge. The rest goes on to the children.
-Nodes that are still large after ``LEVELS`` levels are compared as a whole in the next step. ``RUNS`` runs, with
-fifteen chosen coordinates at the root, are to find all but one in a thousand of the pairs at the threshold where
-three levels are needed; more similar pairs sooner.
-
-Verification. Classes that edges connect form clusters. Each class's text goes once to its cluster, where all
-pairs get their exact similarity; clusters of more than ``BLOCK`` are compared block against block. Links are
-counted and joined on the spot, pairs are never rows.
+force, by sketches: what is alike gets an edge. In larger ones all are first compared with one class chosen by hash
+(the same one wherever it is): what is alike gets an edge to it, and what is almost equal to it leaves, as whatever is
+similar to that gets the same edge. A node where all are alike is done, as edges then connect all its pairs. The others
+go on to their children, until no node is large. Twelve runs, with fifteen chosen coordinates at the root, come first.
+Then recall is measured: ``PROBES`` classes against all, by sketches; while less than ``RECALL`` of their pairs are
+connected, more runs follow, as long as there are coordinates.
+
+Verification. Edges only route: classes that they connect are compared exactly. A class is sent as the difference of its
+n-gram set and that of its group's first class, which is small among near copies; sizes and differences give the exact
+similarity of any pair (the difference of two sets is that of their differences from a third one). Groups of more than
+a block are compared block against block, in as many tasks as there are partitions; a block has at most ``BLOCK``
+classes and ``BLOCK_BYTES`` of n-grams. Links are counted and joined on the spot, pairs are never rows.
 
 Defined results: null text counts as empty; texts without words are copies of each other and similar to nothing
 else; repeated rows are copies, too; a null doc_id never is a class's or group's id unless all are null; an empty
@@ -31,16 +34,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..stored import written
+from ..stored import paths, release, written
 from ._shared import BASES, Links, Words, components, documents, mix, rolling, small_batches, text_bytes
 from .substring_dedup import joined
 
 NGRAM, THRESHOLD = 5, 0.8
-COORDINATES, RUNS, LEVELS, LEAF, BLOCK = 64, 12, 3, 64, 2048
+COORDINATES, RUNS, LEAF = 64, 12, 64
+#: After so many levels, nodes that are still large and not done are compared as a whole.
+LEVELS = 16
+#: Classes of a block, least and most, and bytes of its n-grams.
+LEAST_BLOCK, BLOCK, BLOCK_BYTES = 128, 2048, 32 << 20
 #: Places in which a large node is compared with its chosen class.
 SALTS = 16
 #: Share of equal minima that makes an edge, and that lets a class leave a large node.
-LIKE, SAME = 0.4, 0.9
+LIKE, SAME = 0.55, 0.9
+#: Classes that recall is measured with, and the share of their pairs that must be connected.
+PROBES, RECALL = 512, 0.99
 #: Ids of classes all of whose doc_ids are null start here.
 NAMELESS = 1 << 62
 
@@ -146,13 +155,15 @@ def _compared(leaves: DataFrame, nodes: DataFrame, groups: int) -> DataFrame:
     return rows.groupBy("g").applyInArrow(run, "a long, b long")
 
 
-def candidate_edges(nodes: DataFrame, runs: int = RUNS) -> DataFrame:
-    """Edges (a, b) that connect all pairs found by the paths."""
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = 4 * parts
+def _roots(run: int, runs: int) -> list[int]:
+    """The coordinates of the roots of ``runs`` runs from ``run`` on: one each, every fourth run another; none twice."""
     order = np.random.default_rng(11).permutation(COORDINATES).tolist()
-    # a run's root chooses one coordinate, every fourth run's another; none is chosen twice
-    first = order[: runs + runs // 4]
+    return order[run + run // 4 : run + runs + (run + runs) // 4]
+
+
+def candidate_edges(nodes: DataFrame, first: list[int]) -> DataFrame:
+    """Edges (a, b) that connect all pairs found by the paths from roots with the coordinates ``first``."""
+    groups = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = nodes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), F.element_at("sketch", i + 1)) for i in first])).alias("path")).select("path", "node")
     edges, leaves = [], []
     sketch = nodes.select("node", "sketch")
@@ -166,7 +177,7 @@ def candidate_edges(nodes: DataFrame, runs: int = RUNS) -> DataFrame:
         if level == LEVELS:
             edges.append(large.join(large.groupBy("path").agg(F.min("node").alias("b")), "path").select(F.col("node").alias("a"), "b"))
             break
-        chosen = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "node"), "node"))["node"].alias("b"))
+        chosen = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("node", F.lit(6)), "node"))["node"].alias("b"))
         chosen = chosen.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("to")), "b")
         alike = F.expr(f"aggregate(zip_with(sketch, to, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {COORDINATES}")
         # a node's members meet its chosen class in SALTS places, so a hot node isn't one task's
@@ -175,9 +186,9 @@ def candidate_edges(nodes: DataFrame, runs: int = RUNS) -> DataFrame:
         seen = large.join(sketch, "node").select("path", "node", "sketch", salt).join(chosen, ["path", "salt"])
         seen = written(seen.select("path", "node", "sketch", "b", alike.alias("alike")), "seen")
         edges.append(seen.where(F.col("alike") >= LIKE).select(F.col("node").alias("a"), "b"))
+        left = seen.groupBy("path").agg(F.sum((F.col("alike") < LIKE).cast("int")).alias("unlike"), F.sum((F.col("alike") < SAME).cast("int")).alias("left"))
         rest = seen.where((F.col("alike") < SAME) & (F.col("node") != F.col("b")))
-        left = rest.groupBy("path").agg(F.count(F.lit(1)).alias("left"))
-        rest = rest.join(left.where("left > 1"), "path")
+        rest = rest.join(left.where("unlike > 0 and left > 1"), "path")
         leaves.append(rest.where(F.col("left") <= LEAF).select("path", "node"))
         at = _children(rest.where(F.col("left") > LEAF))
     every = leaves[0]
@@ -189,26 +200,90 @@ def candidate_edges(nodes: DataFrame, runs: int = RUNS) -> DataFrame:
     return found
 
 
+def measured_recall(nodes: DataFrame, clusters: DataFrame, probes: int = PROBES, threshold: float = THRESHOLD) -> float:
+    """Share of the similar pairs of ``probes`` classes with all others that are in one cluster; similar by sketches.
+
+    The probes, a fixed number of classes least by a hash, are on the driver and with every task; all else is counted.
+    """
+    known = nodes.select("node", "sketch").join(clusters, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
+    chosen = known.orderBy(F.xxhash64("node", F.lit(8)), "node").limit(probes).collect()
+    ids = np.array([r["node"] for r in chosen], np.int64)
+    roots = np.array([r["root"] for r in chosen], np.int64)
+    own = np.array([r["sketch"] for r in chosen], np.int32).reshape(-1, COORDINATES)
+    least = int(np.ceil(threshold * COORDINATES))
+
+    def run(batches):
+        for batch in batches:
+            node, root = batch.column("node").to_numpy(), batch.column("root").to_numpy()
+            sketch = np.ascontiguousarray(batch.column("sketch").flatten().to_numpy().reshape(-1, COORDINATES).T)
+            similar = connected = 0
+            for i, s, r in zip(ids, own, roots, strict=True):
+                equal = np.zeros(len(node), np.int8)
+                for k in range(COORDINATES):
+                    equal += sketch[k] == s[k]
+                hit = (equal >= least) & (node != i)
+                similar, connected = similar + int(hit.sum()), connected + int((root[hit] == r).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([similar]), pa.array([connected])], names=["similar", "connected"])
+
+    row = known.mapInArrow(run, "similar long, connected long").agg(F.sum("similar").alias("s"), F.sum("connected").alias("c")).first()
+    return row["c"] / row["s"] if row["s"] else 1.0
+
+
+def clusters_of(nodes: DataFrame, runs: int, recall: float = RECALL) -> DataFrame:
+    """(node, root) of classes that paths connect: ``runs`` runs, and as many again until the recall is reached."""
+    spark, made, run, edges = nodes.sparkSession, len(paths()), 0, None
+    while True:
+        new = candidate_edges(nodes, _roots(run, runs))
+        edges = written((new if edges is None else new.unionByName(edges)).distinct(), "edges")
+        release(spark, *paths()[made:-1])
+        found = written(components(edges), "clusters")
+        release(spark, *paths()[made + 1 : -1])
+        run += runs
+        if not _roots(run, runs) or measured_recall(nodes, found) >= recall:
+            release(spark, *paths()[made:-1])
+            return found
+        release(spark, *paths()[made + 1 :])
+
+
+def differences(rows: DataFrame) -> DataFrame:
+    """root, node, copies, blocks, block, n (n-grams), gone (the n-grams that the text has and its centre has not, or the
+    other way round, as sorted 64-bit hashes) of rows with text and centre (the text of their group's first class)."""
+    names = ["root", "node", "copies", "blocks", "block"]
+
+    def run(batches):
+        for batch in small_batches(batches):
+            grams, doc = shingles(Words(batch.column("text")))
+            centres = batch.column("centre").dictionary_encode()
+            base, base_doc = shingles(Words(centres.dictionary))
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            base_ends = np.searchsorted(base_doc, np.arange(len(centres.dictionary) + 1))
+            base_sets = [np.unique(base[i:j]) for i, j in zip(base_ends[:-1], base_ends[1:], strict=True)]
+            size, gone = [], []
+            for k, c in enumerate(centres.indices.to_pylist()):
+                one = np.unique(grams[ends[k] : ends[k + 1]])
+                size.append(len(one))
+                gone.append(np.setxor1d(one, base_sets[c], assume_unique=True).astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(size, pa.int64()), pa.array(gone, pa.binary())], names=[*names, "n", "gone"])
+
+    return rows.mapInArrow(run, "root long, node long, copies long, blocks int, block int, n long, gone binary")
+
+
 def _linked(table: pa.Table, threshold: float) -> pa.Table:
-    """node, links (to copies of other nodes) and b (a linked node no greater) of all clusters or block pairs."""
+    """node, links (to copies of other nodes) and b (a linked node no greater) of all groups or block pairs."""
     keys = [table.column(c).to_numpy() for c in ("root", "bi", "bj")]
-    node, block, copies = (table.column(c).to_numpy() for c in ("node", "block", "copies"))
-    order = np.lexsort((node, *keys[::-1]))
-    words = Words(table.column("text").combine_chunks())
-    h, doc = shingles(words)
-    by = np.lexsort((h, doc))
-    h, doc = h[by], doc[by]
-    once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
-    h, doc = h[once], doc[once]
-    size = np.bincount(doc, minlength=len(node))
+    node, block, copies, n = (table.column(c).to_numpy() for c in ("node", "block", "copies", "n"))
+    gone = table.column("gone").to_pylist()
+    size = np.array([len(x) // 8 for x in gone], np.int64)
+    h = np.frombuffer(b"".join(gone), "<u8")
     start = np.cumsum(size) - size
+    order = np.lexsort((node, *keys[::-1]))
     total, links = np.zeros(len(node), np.int64), Links(len(node))
     rank = np.empty(len(node), np.int64)  # union-find roots are least by node
     rank[np.argsort(node, kind="stable")] = np.arange(len(node))
     change = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
     for rows in np.split(order, np.flatnonzero(change) + 1):
         cross = keys[1][rows[0]] != keys[2][rows[0]]
-        for a, b in _pairs(rows, h, start, size, block if cross else None, threshold):
+        for a, b in _pairs(rows, h, start, size, n, block if cross else None, threshold):
             np.add.at(total, a, copies[b])
             np.add.at(total, b, copies[a])
             links.join(rank[a], rank[b])
@@ -217,24 +292,17 @@ def _linked(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"node": node, "links": total, "b": at[links.roots()[rank]]})
 
 
-def _pairs(rows: np.ndarray, h: np.ndarray, start: np.ndarray, size: np.ndarray, block: np.ndarray | None, threshold: float, step: int = 1024):
+def _pairs(rows: np.ndarray, h: np.ndarray, start: np.ndarray, size: np.ndarray, n: np.ndarray, block: np.ndarray | None, threshold: float, step: int = 1024):
     """Pairs (as two arrays) of ``rows`` with a similarity of at least ``threshold``; across blocks if given.
 
-    Shared n-grams are counted by products of 0/1 matrices, ``step`` n-grams at a time; memory holds one count a pair
-    of the two blocks.
+    Row r has n[r] n-grams, and h[start[r]:][:size[r]] tells it from its group's centre. What two differences share is
+    counted by products of 0/1 matrices, ``step`` n-grams at a time; memory holds one count a pair of the two blocks.
     """
-    rows = rows[size[rows] > 0]
     if len(rows) < 2:
         return
     sides = [rows, rows] if block is None else [rows[block[rows] == k] for k in np.unique(block[rows])]
     if len(sides) < 2:
         return
-    if len(rows) == 2:
-        a, b = rows
-        both = len(np.intersect1d(h[start[a] : start[a] + size[a]], h[start[b] : start[b] + size[b]], assume_unique=True))
-        if both * (1 + threshold) >= threshold * (size[a] + size[b]) - 1e-9:
-            yield rows[:1], rows[1:]
-        return
     own = np.repeat(np.arange(len(rows)), size[rows])
     at = np.arange(size[rows].sum()) + np.repeat(start[rows] - (np.cumsum(size[rows]) - size[rows]), size[rows])
     _, column, many = np.unique(h[at], return_inverse=True, return_counts=True)
@@ -260,10 +328,11 @@ def _pairs(rows: np.ndarray, h: np.ndarray, start: np.ndarray, size: np.ndarray,
             parts.append(part)
         for k in range(0, len(both), 512):
             both[k : k + 512] += parts[0][k : k + 512] @ parts[1].T
-    n, m = size[sides[0]], size[sides[1]]
+    grams, differ = [n[x].astype(np.float64) for x in sides], [size[x].astype(np.float64) for x in sides]
     for i in range(0, len(both), 256):  # a few rows at a time, to bound memory
-        near = both[i : i + 256].astype(np.float64) * (1 + threshold) >= threshold * (n[i : i + 256, None] + m[None, :]) - 1e-6
-        a, b = np.nonzero(near)
+        all_grams = grams[0][i : i + 256, None] + grams[1][None, :]
+        apart = differ[0][i : i + 256, None] + differ[1][None, :] - 2 * both[i : i + 256]  # n-grams of one of the two
+        a, b = np.nonzero(all_grams - apart >= threshold * (all_grams + apart) - 1e-6)
         a += i
         if block is None:
             a, b = a[a < b], b[a < b]
@@ -282,23 +351,30 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = written(signatures(df), "signatures")
     nodes = written(classes(signed), "classes")
-    edges = candidate_edges(nodes.where("n_words > 0"), runs)
-    clusters = written(components(edges), "clusters")
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    before = len(paths())
+    clusters = clusters_of(nodes.where("n_words > 0"), runs)
+    sizes = clusters.join(nodes.select("node", "n_words"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_words").alias("words"))
     members = clusters.join(sizes, "root").join(nodes.select("node", "copies", "rep"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    # a large group has about as many pairs of blocks as there are partitions
+    room = F.least(F.greatest(F.col("size") / (2 * parts) ** 0.5, F.lit(float(LEAST_BLOCK))), F.lit(float(BLOCK)))
+    blocks = F.ceil(F.greatest(F.col("size") / room, F.col("words") * 8 / BLOCK_BYTES)).cast("int")
     members = members.select("root", "node", "copies", F.col("rep.doc_id").alias("d"), F.col("rep.rid").alias("r"), blocks.alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), "blocks").cast("int"))
     # one row of each class has its text
     texts = df.join(members, df.rid.eqNullSafe(members.r) & df.doc_id.eqNullSafe(members.d)).select("root", "node", "copies", "blocks", "block", "text")
     if signed.groupBy("doc_id", "rid").count().where("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["root", "node"])
-    texts = texts.withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)")))
-    texts = texts.withColumn("bi", F.least("block", "to")).withColumn("bj", F.greatest("block", "to"))
+    texts = written(texts, "texts")
+    centres = texts.where("node = root").select("root", F.col("text").alias("centre"))
+    told = differences(texts.join(centres, "root").select("root", "node", "copies", "blocks", "block", "text", "centre"))
+    told = told.withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)")))
+    told = told.withColumn("bi", F.least("block", "to")).withColumn("bj", F.greatest("block", "to"))
     groups = max(-(-text_bytes(df) // batch_bytes), 4 * parts)
     g = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(groups))).otherwise(F.xxhash64("root", "bi", "bj"))
-    found = texts.select("root", "bi", "bj", "block", "node", "copies", "text", g.alias("g")).groupBy("g")
+    found = told.select("root", "bi", "bj", "block", "node", "copies", "n", "gone", g.alias("g")).groupBy("g")
+    made = len(paths())
     found = written(found.applyInArrow(lambda t: _linked(t, threshold), "node long, links long, b long"), "links")
+    release(spark, *paths()[before:made])
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> b").select(F.col("node").alias("a"), "b"))
     per = nodes.select("f1", "f2", "node", "copies", "rep").join(links, "node", "left").join(roots, "node", "left")
