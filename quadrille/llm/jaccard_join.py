@@ -9,8 +9,8 @@ on average, and sends each class to the child that its minimum there names, so a
 one child on average however deep the recursion goes. Nodes of at most ``LEAF`` classes are compared by brute
 force, by sketches: what is alike gets an edge. In larger ones all are first compared with one class chosen by hash
 (the same one wherever it is): what is alike gets an edge to it, and what is almost equal to it leaves, as whatever is
-similar to that gets the same edge. A node where all are alike is done, as edges then connect all its pairs. The others
-go on to their children, until no node is large. Twelve runs, with fifteen chosen coordinates at the root, come first.
+similar to that gets the same edge. A node all of whose classes edges connect already is done. The others go on to their
+children, until no node is large. Twelve runs, with fifteen chosen coordinates at the root, come first.
 Then recall is measured: ``PROBES`` classes against all, by sketches; while less than ``RECALL`` of their pairs are
 connected, more runs follow, as long as there are coordinates.
 
@@ -122,9 +122,9 @@ def _chosen(path: Column) -> Column:
 
 
 def _children(at: DataFrame) -> DataFrame:
-    """path, node of the children of (path, node, sketch)."""
-    down = at.select("node", "path", "sketch", F.explode(_chosen(F.col("path"))).alias("i"))
-    return down.select(F.xxhash64("path", "i", F.element_at("sketch", (F.col("i") + 1).cast("int"))).alias("path"), "node")
+    """path, node, label of the children of (path, node, sketch, label)."""
+    down = at.select("node", "path", "sketch", "label", F.explode(_chosen(F.col("path"))).alias("i"))
+    return down.select(F.xxhash64("path", "i", F.element_at("sketch", (F.col("i") + 1).cast("int"))).alias("path"), "node", "label")
 
 
 def _compared(leaves: DataFrame, nodes: DataFrame, groups: int) -> DataFrame:
@@ -164,31 +164,38 @@ def _roots(run: int, runs: int) -> list[int]:
 def candidate_edges(nodes: DataFrame, first: list[int]) -> DataFrame:
     """Edges (a, b) that connect all pairs found by the paths from roots with the coordinates ``first``."""
     groups = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = nodes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), F.element_at("sketch", i + 1)) for i in first])).alias("path")).select("path", "node")
+    at = nodes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), F.element_at("sketch", i + 1)) for i in first])).alias("path"))
+    at = at.select("path", "node", F.lit(None).cast("long").alias("label"))  # label: a class that edges connect it to
     edges, leaves = [], []
     sketch = nodes.select("node", "sketch")
     for level in range(1, LEVELS + 1):
-        sizes = at.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        at = written(at.join(sizes, "path"), "nodes")
-        leaves.append(at.where(F.col("n") <= LEAF).select("path", "node"))
-        large = at.where(F.col("n") > LEAF).select("path", "node")
-        if large.isEmpty():
+        sizes = at.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("label").alias("labelled"))
+        # what edges connect already needs no comparison
+        sizes = written(sizes.where("n > 1 and not (labelled = n and low = high)").select("path", "n"), "sizes")
+        # paths of large nodes are few: joined on their own, their members aren't sent to one task a path
+        heavy = written(sizes.where(F.col("n") > LEAF).select("path"), "large")
+        small = at.join(heavy, "path", "left_anti").join(sizes.where(F.col("n") <= LEAF), "path", "left_semi")
+        leaves.append(written(small.select("path", "node"), "leaves"))
+        if heavy.isEmpty():
             break
+        large = written(at.join(heavy, "path"), "nodes")
         if level == LEVELS:
             edges.append(large.join(large.groupBy("path").agg(F.min("node").alias("b")), "path").select(F.col("node").alias("a"), "b"))
             break
-        chosen = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("node", F.lit(6)), "node"))["node"].alias("b"))
+        chosen = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("node", F.lit(6)).alias("h"), "node", "label")).alias("c"))
+        chosen = chosen.select("path", F.col("c.node").alias("b"), F.coalesce("c.label", "c.node").alias("b_label"))
         chosen = chosen.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("to")), "b")
         alike = F.expr(f"aggregate(zip_with(sketch, to, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {COORDINATES}")
         # a node's members meet its chosen class in SALTS places, so a hot node isn't one task's
         salt = F.pmod(F.xxhash64("node", F.lit(4)), F.lit(SALTS)).alias("salt")
         chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        seen = large.join(sketch, "node").select("path", "node", "sketch", salt).join(chosen, ["path", "salt"])
-        seen = written(seen.select("path", "node", "sketch", "b", alike.alias("alike")), "seen")
-        edges.append(seen.where(F.col("alike") >= LIKE).select(F.col("node").alias("a"), "b"))
-        left = seen.groupBy("path").agg(F.sum((F.col("alike") < LIKE).cast("int")).alias("unlike"), F.sum((F.col("alike") < SAME).cast("int")).alias("left"))
-        rest = seen.where((F.col("alike") < SAME) & (F.col("node") != F.col("b")))
-        rest = rest.join(left.where("unlike > 0 and left > 1"), "path")
+        seen = large.join(sketch, "node").select("path", "node", "sketch", "label", salt).join(chosen, ["path", "salt"])
+        seen = seen.withColumn("alike", alike).withColumn("label", F.when(F.col("alike") >= LIKE, F.col("b_label")).otherwise(F.col("label")))
+        seen = written(seen.select("path", "node", "sketch", "b", "alike", "label"), "seen")
+        edges.append(seen.where(F.col("alike") >= LIKE).select(F.col("node").alias("a"), "b").distinct())
+        goes = (F.col("alike") < SAME) & (F.col("node") != F.col("b"))
+        left = seen.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("label").alias("labelled"), F.count(F.lit(1)).alias("n"), F.sum(goes.cast("int")).alias("left"))
+        rest = seen.where(goes).join(left.where("left > 1 and not (labelled = n and low = high)").select("path", "left"), "path")
         leaves.append(rest.where(F.col("left") <= LEAF).select("path", "node"))
         at = _children(rest.where(F.col("left") > LEAF))
     every = leaves[0]
