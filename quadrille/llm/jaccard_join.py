@@ -9,9 +9,9 @@ on average, and sends each class to the child that its minimum there names, so a
 one child on average however deep the recursion goes. Nodes of at most ``LEAF`` classes are compared by brute
 force, by sketches: what is alike gets an edge. In larger ones all are first compared with one class chosen by hash
 (the same one wherever it is): what is alike gets an edge to it, and what is almost equal to it leaves, as whatever is
-similar to that gets the same edge. A node all of whose classes edges connect already is done. The others go on to their
-children, until no node is large. Twelve runs, with fifteen chosen coordinates at the root, come first.
-Then recall is measured: ``PROBES`` classes against all, by sketches; while less than ``RECALL`` of their pairs are
+similar to that gets the same edge. A node all of whose classes edges connect already is done; where a few are not, they
+join the others' group. The other nodes' classes go on to their children, until no node is large. Twelve runs, with fifteen chosen coordinates at the root, come first, three of them ahead, so that the others
+need not do large groups again. Then recall is measured: ``PROBES`` classes against all, by sketches; while less than ``RECALL`` of their pairs are
 connected, more runs follow, as long as there are coordinates.
 
 Verification. Edges only route: classes that they connect are compared exactly. A class is sent as the difference of its
@@ -46,6 +46,9 @@ LEVELS = 16
 LEAST_BLOCK, BLOCK, BLOCK_BYTES = 128, 2048, 32 << 20
 #: Places in which a large node is compared with its chosen class.
 SALTS = 16
+#: A large node is settled if no more than one in so many of its classes is not connected with the others: these join
+#: their group, where all are compared exactly.
+STRAY = 8
 #: Share of equal minima that makes an edge, and that lets a class leave a large node.
 LIKE, SAME = 0.55, 0.9
 #: Classes that recall is measured with, and the share of their pairs that must be connected.
@@ -162,18 +165,21 @@ def _roots(run: int, runs: int) -> list[int]:
 
 
 def candidate_edges(nodes: DataFrame, first: list[int]) -> DataFrame:
-    """Edges (a, b) that connect all pairs found by the paths from roots with the coordinates ``first``."""
+    """Edges (a, b) that connect all pairs of (node, sketch, label) found by the paths from roots with the coordinates
+    ``first``. label: a class that edges connect it to already, or null."""
     groups = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = nodes.select("node", F.explode(F.array(*[F.xxhash64(F.lit(i), F.element_at("sketch", i + 1)) for i in first])).alias("path"))
-    at = at.select("path", "node", F.lit(None).cast("long").alias("label"))  # label: a class that edges connect it to
+    roots = F.explode(F.array(*[F.xxhash64(F.lit(i), F.element_at("sketch", i + 1)) for i in first]))
+    at = nodes.select(roots.alias("path"), "node", "label")
     edges, leaves = [], []
     sketch = nodes.select("node", "sketch")
     for level in range(1, LEVELS + 1):
-        sizes = at.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("label").alias("labelled"))
+        sizes = at.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
+        most = F.max(F.struct(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0).alias("m"), "label"))
+        sizes = sizes.groupBy("path").agg(F.sum("n").alias("n"), most.alias("top"))
         # what edges connect already needs no comparison
-        sizes = written(sizes.where("n > 1 and not (labelled = n and low = high)").select("path", "n"), "sizes")
+        sizes = written(sizes.where("n > 1 and top.m < n").select("path", "n", F.col("top.m").alias("m"), F.col("top.label").alias("top")), "sizes")
         # paths of large nodes are few: joined on their own, their members aren't sent to one task a path
-        heavy = written(sizes.where(F.col("n") > LEAF).select("path"), "large")
+        heavy = written(sizes.where(F.col("n") > LEAF), "large")
         small = at.join(heavy, "path", "left_anti").join(sizes.where(F.col("n") <= LEAF), "path", "left_semi")
         leaves.append(written(small.select("path", "node"), "leaves"))
         if heavy.isEmpty():
@@ -182,20 +188,23 @@ def candidate_edges(nodes: DataFrame, first: list[int]) -> DataFrame:
         if level == LEVELS:
             edges.append(large.join(large.groupBy("path").agg(F.min("node").alias("b")), "path").select(F.col("node").alias("a"), "b"))
             break
-        chosen = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("node", F.lit(6)).alias("h"), "node", "label")).alias("c"))
-        chosen = chosen.select("path", F.col("c.node").alias("b"), F.coalesce("c.label", "c.node").alias("b_label"))
+        settled = (F.col("n") - F.col("m")) * STRAY <= F.col("n")
+        edges.append(large.where(settled & ~F.col("label").eqNullSafe(F.col("top"))).select(F.col("node").alias("a"), F.col("top").alias("b")).distinct())
+        large = large.where(~settled).select("path", "node", "label")
+        # one that nothing is connected to yet is chosen first
+        chosen = large.groupBy("path").agg(F.min(F.struct(F.col("label").isNotNull().alias("old"), F.xxhash64("node", F.lit(6)).alias("h"), "node"))["node"].alias("b"))
         chosen = chosen.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("to")), "b")
         alike = F.expr(f"aggregate(zip_with(sketch, to, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {COORDINATES}")
         # a node's members meet its chosen class in SALTS places, so a hot node isn't one task's
         salt = F.pmod(F.xxhash64("node", F.lit(4)), F.lit(SALTS)).alias("salt")
         chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         seen = large.join(sketch, "node").select("path", "node", "sketch", "label", salt).join(chosen, ["path", "salt"])
-        seen = seen.withColumn("alike", alike).withColumn("label", F.when(F.col("alike") >= LIKE, F.col("b_label")).otherwise(F.col("label")))
-        seen = written(seen.select("path", "node", "sketch", "b", "alike", "label"), "seen")
+        seen = written(seen.select("path", "node", "sketch", "b", "label", alike.alias("alike")), "seen")
         edges.append(seen.where(F.col("alike") >= LIKE).select(F.col("node").alias("a"), "b").distinct())
-        goes = (F.col("alike") < SAME) & (F.col("node") != F.col("b"))
-        left = seen.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("label").alias("labelled"), F.count(F.lit(1)).alias("n"), F.sum(goes.cast("int")).alias("left"))
-        rest = seen.where(goes).join(left.where("left > 1 and not (labelled = n and low = high)").select("path", "left"), "path")
+        near, goes = F.col("alike") >= LIKE, (F.col("alike") < SAME) & (F.col("node") != F.col("b"))
+        left = seen.groupBy("path").agg(F.min(F.when(near, F.col("label"))).alias("to"), F.sum(goes.cast("int")).alias("left"))
+        rest = seen.where(goes).join(left.where("left > 1"), "path")
+        rest = rest.withColumn("label", F.when(near, F.coalesce("to", "b")).otherwise(F.col("label")))
         leaves.append(rest.where(F.col("left") <= LEAF).select("path", "node"))
         at = _children(rest.where(F.col("left") > LEAF))
     every = leaves[0]
@@ -237,19 +246,23 @@ def measured_recall(nodes: DataFrame, clusters: DataFrame, probes: int = PROBES,
 
 
 def clusters_of(nodes: DataFrame, runs: int, recall: float = RECALL) -> DataFrame:
-    """(node, root) of classes that paths connect: ``runs`` runs, and as many again until the recall is reached."""
+    """(node, root) of classes that paths connect: a quarter of ``runs`` runs, the rest of them on what these have left
+    apart, and as many again until the recall is reached."""
     spark, made, run, edges = nodes.sparkSession, len(paths()), 0, None
+    known, nodes = nodes.withColumn("label", F.lit(None).cast("long")), nodes.select("node", "sketch")
     while True:
-        new = candidate_edges(nodes, _roots(run, runs))
+        some = runs - run if 0 < run < runs else max(runs // 4, 1) if not run else runs
+        new = candidate_edges(known, _roots(run, some))
         edges = written((new if edges is None else new.unionByName(edges)).distinct(), "edges")
-        release(spark, *paths()[made:-1])
+        edge_path = paths()[-1]
         found = written(components(edges), "clusters")
-        release(spark, *paths()[made + 1 : -1])
-        run += runs
-        if not _roots(run, runs) or measured_recall(nodes, found) >= recall:
-            release(spark, *paths()[made:-1])
+        found_path = paths()[-1]
+        release(spark, *[p for p in paths()[made:] if p not in (edge_path, found_path)])
+        run += some
+        if run >= runs and (not _roots(run, runs) or measured_recall(nodes, found) >= recall):
+            release(spark, edge_path)
             return found
-        release(spark, *paths()[made + 1 :])
+        known = nodes.join(found.withColumnRenamed("root", "label"), "node", "left")
 
 
 def differences(rows: DataFrame) -> DataFrame:

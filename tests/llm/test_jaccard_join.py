@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import jaccard_join as x
 from quadrille.llm._shared import BASES, rolling
@@ -81,7 +82,7 @@ def test_pairs_at_the_threshold_meet_in_nodes_that_stay_large(spark):
         i = r.permutation(x.COORDINATES)[:13]
         row[i] = (row[i] + r.integers(1, 8, 13)) % 8
     rows = [(i, s.tolist()) for i, s in enumerate(np.concatenate([a, b]))]
-    edges = x.candidate_edges(spark.createDataFrame(rows, "node long, sketch array<int>"), x._roots(0, x.RUNS))
+    edges = x.candidate_edges(spark.createDataFrame(rows, "node long, sketch array<int>").withColumn("label", F.lit(None).cast("long")), x._roots(0, x.RUNS))
     root = {e["node"]: e["root"] for e in x.components(edges).collect()}
     assert sum(i in root and root[i] == root.get(i + 3000) for i in range(3000)) >= 0.999 * 3000
 
