@@ -39,7 +39,7 @@ from ._shared import BASES, Links, Words, components, documents, mix, rolling, s
 from .substring_dedup import joined
 
 NGRAM, THRESHOLD = 5, 0.8
-COORDINATES, RUNS, LEAF = 64, 12, 64
+COORDINATES, RUNS, LEAF = 64, 12, 256
 #: After so many levels, nodes that are still large and not done are compared as a whole.
 LEVELS = 16
 #: Classes of a block, least and most, and bytes of its n-grams.
@@ -181,7 +181,7 @@ def candidate_edges(nodes: DataFrame, first: list[int]) -> DataFrame:
         # paths of large nodes are few: joined on their own, their members aren't sent to one task a path
         heavy = written(sizes.where(F.col("n") > LEAF), "large")
         small = at.join(heavy, "path", "left_anti").join(sizes.where(F.col("n") <= LEAF), "path", "left_semi")
-        leaves.append(written(small.select("path", "node"), "leaves"))
+        leaves.append(small.select("path", "node"))
         if heavy.isEmpty():
             break
         large = written(at.join(heavy, "path"), "nodes")
