@@ -10,9 +10,9 @@ one child on average however deep the recursion goes. Nodes of at most ``LEAF``
 force, by sketches: what is alike gets an edge. In larger ones all are first compared with one class chosen by hash
 (the same one wherever it is): what is alike gets an edge to it, and what is almost equal to it leaves, as whatever is
 similar to that gets the same edge. A node all of whose classes edges connect already is done; where a few are not, they
-join the others' group. The other nodes' classes go on to their children, until no node is large. Twelve runs, with fifteen chosen coordinates at the root, come first, three of them ahead, so that the others
-need not do large groups again. Then recall is measured: ``PROBES`` classes against all, by sketches; while less than ``RECALL`` of their pairs are
-connected, more runs follow, as long as there are coordinates.
+join the others' group. The other nodes' classes go on to their children, until no node is large. Twelve runs, with fifteen chosen coordinates at the root, come first. Then recall is measured: ``PROBES`` classes against all, by sketches; while less than ``RECALL`` of their pairs are
+connected, more runs follow on what is still apart, as long as there are coordinates. A node that is large after
+``LEVELS`` levels is a group of its own, compared as a whole.
 
 Verification. Edges only route: classes that they connect are compared exactly. A class is sent as the difference of its
 n-gram set and that of its group's first class, which is small among near copies; sizes and differences give the exact
@@ -39,9 +39,9 @@ from ._shared import BASES, Links, Words, components, documents, mix, rolling, s
 from .substring_dedup import joined
 
 NGRAM, THRESHOLD = 5, 0.8
-COORDINATES, RUNS, LEAF = 64, 12, 256
+COORDINATES, RUNS, LEAF = 64, 12, 64
 #: After so many levels, nodes that are still large and not done are compared as a whole.
-LEVELS = 16
+LEVELS = 4
 #: Classes of a block, least and most, and bytes of its n-grams.
 LEAST_BLOCK, BLOCK, BLOCK_BYTES = 128, 2048, 32 << 20
 #: Places in which a large node is compared with its chosen class.
@@ -179,7 +179,7 @@ def candidate_edges(nodes: DataFrame, first: list[int]) -> DataFrame:
         # what edges connect already needs no comparison
         sizes = written(sizes.where("n > 1 and top.m < n").select("path", "n", F.col("top.m").alias("m"), F.col("top.label").alias("top")), "sizes")
         # paths of large nodes are few: joined on their own, their members aren't sent to one task a path
-        heavy = written(sizes.where(F.col("n") > LEAF), "large")
+        heavy = sizes.where(F.col("n") > LEAF)
         small = at.join(heavy, "path", "left_anti").join(sizes.where(F.col("n") <= LEAF), "path", "left_semi")
         leaves.append(small.select("path", "node"))
         if heavy.isEmpty():
@@ -246,20 +246,19 @@ def measured_recall(nodes: DataFrame, clusters: DataFrame, probes: int = PROBES,
 
 
 def clusters_of(nodes: DataFrame, runs: int, recall: float = RECALL) -> DataFrame:
-    """(node, root) of classes that paths connect: a quarter of ``runs`` runs, the rest of them on what these have left
-    apart, and as many again until the recall is reached."""
+    """(node, root) of classes that paths connect: ``runs`` runs, and as many again, on what these have left apart, until
+    the recall is reached."""
     spark, made, run, edges = nodes.sparkSession, len(paths()), 0, None
     known, nodes = nodes.withColumn("label", F.lit(None).cast("long")), nodes.select("node", "sketch")
     while True:
-        some = runs - run if 0 < run < runs else max(runs // 4, 1) if not run else runs
-        new = candidate_edges(known, _roots(run, some))
+        new = candidate_edges(known, _roots(run, runs))
         edges = written((new if edges is None else new.unionByName(edges)).distinct(), "edges")
         edge_path = paths()[-1]
         found = written(components(edges), "clusters")
         found_path = paths()[-1]
         release(spark, *[p for p in paths()[made:] if p not in (edge_path, found_path)])
-        run += some
-        if run >= runs and (not _roots(run, runs) or measured_recall(nodes, found) >= recall):
+        run += runs
+        if not _roots(run, runs) or measured_recall(nodes, found) >= recall:
             release(spark, edge_path)
             return found
         known = nodes.join(found.withColumnRenamed("root", "label"), "node", "left")
