@@ -173,6 +173,7 @@ def candidate_edges(nodes: DataFrame, first: list[int]) -> DataFrame:
     edges, leaves = [], []
     sketch = nodes.select("node", "sketch")
     for level in range(1, LEVELS + 1):
+        at = written(at, "members")
         sizes = at.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
         most = F.max(F.struct(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0).alias("m"), "label"))
         sizes = sizes.groupBy("path").agg(F.sum("n").alias("n"), most.alias("top"))
