@@ -10,7 +10,8 @@ one child on average however deep the recursion goes. Nodes of at most ``LEAF``
 force, by sketches: what is alike gets an edge. In larger ones all are first compared with one class chosen by hash
 (the same one wherever it is): what is alike gets an edge to it, and what is almost equal to it leaves, as whatever is
 similar to that gets the same edge. A node all of whose classes edges connect already is done; where a few are not, they
-join the others' group. The other nodes' classes go on to their children, until no node is large. Twelve runs, with fifteen chosen coordinates at the root, come first. Then recall is measured: ``PROBES`` classes against all, by sketches; while less than ``RECALL`` of their pairs are
+join the others' group. The other nodes' classes go on to their children, until no node is large. Twelve runs, with fifteen chosen coordinates at the root, come first, three of them ahead, so that the others
+need not do large groups again. Then recall is measured: ``PROBES`` classes against all, by sketches; while less than ``RECALL`` of their pairs are
 connected, more runs follow on what is still apart, as long as there are coordinates. A node that is large after
 ``LEVELS`` levels is a group of its own, compared as a whole.
 
@@ -205,7 +206,7 @@ def candidate_edges(nodes: DataFrame, first: list[int]) -> DataFrame:
         near, goes = F.col("alike") >= LIKE, (F.col("alike") < SAME) & (F.col("node") != F.col("b"))
         left = seen.groupBy("path").agg(F.min(F.when(near, F.col("label"))).alias("to"), F.sum(goes.cast("int")).alias("left"))
         rest = seen.where(goes).join(left.where("left > 1"), "path")
-        rest = rest.withColumn("label", F.when(near, F.coalesce("to", "b")).otherwise(F.col("label")))
+        rest = written(rest.withColumn("label", F.when(near, F.coalesce("to", "b")).otherwise(F.col("label"))), "rest")
         leaves.append(rest.where(F.col("left") <= LEAF).select("path", "node"))
         at = _children(rest.where(F.col("left") > LEAF))
     every = leaves[0]
@@ -247,19 +248,20 @@ def measured_recall(nodes: DataFrame, clusters: DataFrame, probes: int = PROBES,
 
 
 def clusters_of(nodes: DataFrame, runs: int, recall: float = RECALL) -> DataFrame:
-    """(node, root) of classes that paths connect: ``runs`` runs, and as many again, on what these have left apart, until
-    the recall is reached."""
+    """(node, root) of classes that paths connect: a quarter of ``runs`` runs, the rest of them on what these have left
+    apart, and as many again until the recall is reached."""
     spark, made, run, edges = nodes.sparkSession, len(paths()), 0, None
     known, nodes = nodes.withColumn("label", F.lit(None).cast("long")), nodes.select("node", "sketch")
     while True:
-        new = candidate_edges(known, _roots(run, runs))
+        some = max(runs // 4, 1) if not run else max(runs - run, 0) or runs
+        new = candidate_edges(known, _roots(run, some))
         edges = written((new if edges is None else new.unionByName(edges)).distinct(), "edges")
         edge_path = paths()[-1]
         found = written(components(edges), "clusters")
         found_path = paths()[-1]
         release(spark, *[p for p in paths()[made:] if p not in (edge_path, found_path)])
-        run += runs
-        if not _roots(run, runs) or measured_recall(nodes, found) >= recall:
+        run += some
+        if run >= runs and (not _roots(run, runs) or measured_recall(nodes, found) >= recall):
             release(spark, edge_path)
             return found
         known = nodes.join(found.withColumnRenamed("root", "label"), "node", "left")
