@@ -101,3 +101,12 @@ def same_geometry(before: DataFrame, after: DataFrame, columns: list[str]) -> bo
     """Whether two tables have the same rows of geometry, as often."""
     a, b = before.select(*columns), after.select(*columns)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def geometry_changes(before: DataFrame, after: DataFrame, columns: list[str], group: str) -> DataFrame:
+    """(group, missing, added): rows of ``before`` that ``after`` lacks, and the other way round, as often as they are."""
+    a, b = before.select(*columns), after.select(*columns)
+    one = F.lit(1).cast("long")
+    rows = a.exceptAll(b).select(group, one.alias("missing"), (one * 0).alias("added")).unionByName(b.exceptAll(a).select(group, (one * 0).alias("missing"), one.alias("added")))
+    rows = rows.unionByName(a.select(group).distinct().select(group, (one * 0).alias("missing"), (one * 0).alias("added")))
+    return rows.groupBy(group).agg(F.sum("missing").alias("missing"), F.sum("added").alias("added"))

@@ -170,14 +170,8 @@ def tile_tree_children(spark, d):
     return pyramid.tile_children(tiled(spark, d).select("zoom", "tile_x", "tile_y").distinct())
 
 
-@query(f"WITH {_POINTS} SELECT fid, CAST(w.range AS INT) AS world, CAST(floor((nx + w.range) * 1000) AS BIGINT) AS ix FROM p, range(-1, 2) w WHERE fid % 97 = 0")
-def world_wrap(spark, d):
-    return pyramid.wrapped(points(spark, d).where("fid % 97 = 0")).select("fid", "world", F.floor(F.col("nx") * 1000).cast("long").alias("ix"))
-
-
-# world_wrap and its SQL cover a sample; this wraps all points
 @query(f"WITH {_POINTS} SELECT fid, CAST(w.range AS INT) AS world, CAST(floor((nx + w.range) * 1000) AS BIGINT) AS ix FROM p, range(-1, 2) w")
-def world_wrap_all(spark, d):
+def world_wrap(spark, d):
     return pyramid.wrapped(points(spark, d)).select("fid", "world", F.floor(F.col("nx") * 1000).cast("long").alias("ix"))
 
 
@@ -192,10 +186,17 @@ def _xyz(spark, d) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 1024).alias("a"), (F.col("o_custkey") % 1024).alias("b"), (F.col("o_orderkey") * 7 % 1024).alias("c"))
 
 
-@query(f"WITH {_XYZ} SELECT k, {_MORTON} AS code, {_MORTON} AS code21 FROM x")
+_WIDE = "w AS (SELECT o_orderkey AS k, (o_orderkey * 7919) % 2097152 AS a, (o_custkey * 104729) % 2097152 AS b, (o_orderkey * 15485863) % 2097152 AS c FROM orders)"
+_MORTON21 = " + ".join(f"(CAST((a >> {i}) & 1 AS BIGINT) << {3 * i}) + (CAST((b >> {i}) & 1 AS BIGINT) << {3 * i + 1}) + (CAST((c >> {i}) & 1 AS BIGINT) << {3 * i + 2})" for i in range(21))
+
+
+@query(f"WITH {_XYZ}, {_WIDE} SELECT x.k, x.code, w.code21 FROM (SELECT k, {_MORTON} AS code FROM x) x JOIN (SELECT k, {_MORTON21} AS code21 FROM w) w USING (k)")
 def morton_encode(spark, d):
-    m = [F.col(n) for n in "abc"]
-    return _xyz(spark, d).select("k", grid.morton3(*m).alias("code"), grid.morton3(*m, bits=21).alias("code21"))
+    """Codes of 10 bits an axis, and of 21 with all bits in use."""
+    o = Tables(spark, d).orders
+    wide = [(F.col(c).cast("long") * m) % 2097152 for c, m in (("o_orderkey", 7919), ("o_custkey", 104729), ("o_orderkey", 15485863))]
+    low = [F.col("o_orderkey") % 1024, F.col("o_custkey") % 1024, F.col("o_orderkey") * 7 % 1024]
+    return o.select(F.col("o_orderkey").alias("k"), grid.morton3(*low).alias("code"), grid.morton3(*wide, bits=21).alias("code21"))
 
 
 @query(f"WITH {_XYZ} SELECT k, a, b, c FROM x")
@@ -210,15 +211,8 @@ def tile_id(spark, d):
     return _xyz(spark, d).select("k", grid.tile_id3(z, F.col("a"), F.col("b"), F.col("c")).alias("id3"), grid.tile_id2(z, F.col("a"), F.col("b")).alias("id2"))
 
 
-@query(f"WITH {_XYZ} SELECT k, row_number() OVER (ORDER BY {_MORTON}, k) AS rank FROM x WHERE k % 8 = 0 ORDER BY rank LIMIT 500")
-def morton_order_rank(spark, d):
-    own = _xyz(spark, d).where("k % 8 = 0").withColumn("code", grid.morton3(F.col("a"), F.col("b"), F.col("c"))).orderBy("code", "k").limit(500)
-    return own.select("k", F.row_number().over(Window.orderBy("code", "k")).cast("long").alias("rank"))
-
-
-# morton_order_rank and its SQL cover a sample; this ranks all rows
 @query(f"WITH {_XYZ} SELECT k, row_number() OVER (ORDER BY {_MORTON}, k) AS rank FROM x")
-def morton_order_all(spark, d):
+def morton_order_rank(spark, d):
     own = _xyz(spark, d).withColumn("code", grid.morton3(F.col("a"), F.col("b"), F.col("c")))
     return sequences.dense_ids(own, ["code", "k"], "rank").select("k", (F.col("rank") + 1).alias("rank"))
 
@@ -309,10 +303,10 @@ def selected_semi_join(spark, d):
     return relations.present(t.customer, keys, "c_custkey").select(F.col("c_custkey").alias("k"))
 
 
-@query("SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_unmatched(spark, d):
     t = Tables(spark, d)
-    return relations.absent(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select(F.col("c_custkey").alias("k"))
+    return relations.absent(t.customer, t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select(F.col("c_custkey").alias("k"))
 
 
 @query("""SELECT o_orderkey AS k, c_name AS cell, n_name AS nation, r_name AS region FROM orders LEFT JOIN customer ON o_custkey = c_custkey
@@ -354,9 +348,9 @@ def attribute_filter_categorical(spark, d):
     return tags.category_filter(Tables(spark, d).customer, "c_mktsegment", ["BUILDING", "MACHINERY"]).select(F.col("c_custkey").alias("k"))
 
 
-@query("SELECT p_partkey AS k FROM part WHERE contains(lower(p_name), lower('A1'))")
+@query("SELECT p_partkey AS k FROM part WHERE contains(lower(p_name), lower('Ed Wid'))")
 def name_search(spark, d):
-    return tags.name_search(Tables(spark, d).part, "p_name", "A1").select(F.col("p_partkey").alias("k"))
+    return tags.name_search(Tables(spark, d).part, "p_name", "Ed Wid").select(F.col("p_partkey").alias("k"))
 
 
 _PROPS = """e AS (SELECT o_orderkey AS k, unnest(['status', 'cust', 'priority', 'one']) AS name, unnest([o_orderstatus, CAST(o_custkey AS VARCHAR), o_orderpriority, 'x']) AS value FROM orders)"""
@@ -559,18 +553,9 @@ def vertex_cluster(spark, d):
     return clustered_vertices(df, {"cx": F.col("x") / 640, "cy": F.col("y") / 10}).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("x") * 100).cast("long")).alias("sum_x"), F.min("fid").alias("first"))
 
 
-@query(f"""WITH {_OPOINTS.replace("o_totalprice", "floor(o_totalprice / 1000)")}, f AS (SELECT min(fid) AS first, x, y FROM p GROUP BY x, y), r AS (SELECT x, y, dense_rank() OVER (ORDER BY first) - 1 AS idx FROM f)
-SELECT fid, idx FROM p JOIN r USING (x, y) WHERE fid % 16 < 4""")
-def vertex_dedup(spark, d):
-    from ..functions.mesh import vertex_index
-
-    return vertex_index(order_points(spark, d).withColumn("x", F.floor(F.col("x") / 1000)), ["x", "y"], "fid").where("fid % 16 < 4").select("fid", "idx")
-
-
-# vertex_dedup and its SQL return a sample; this returns the index of every vertex
 @query(f"""WITH {_OPOINTS.replace("o_totalprice", "floor(o_totalprice / 1000)")}, f AS (SELECT min(fid) AS first, x, y FROM p GROUP BY x, y), r AS (SELECT x, y, dense_rank() OVER (ORDER BY first) - 1 AS idx FROM f)
 SELECT fid, idx FROM p JOIN r USING (x, y)""")
-def vertex_dedup_all(spark, d):
+def vertex_dedup(spark, d):
     from ..functions.mesh import vertex_index
 
     return vertex_index(order_points(spark, d).withColumn("x", F.floor(F.col("x") / 1000)), ["x", "y"], "fid").select("fid", "idx")
@@ -783,17 +768,19 @@ def key_intersection(spark, d):
     return t.customer.select(F.col("c_nationkey").alias("k")).intersect(t.supplier.select("s_nationkey"))
 
 
-@query("SELECT DISTINCT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem")
+@query("SELECT DISTINCT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 3")
 def strip_difference(spark, d):
     t = Tables(spark, d)
-    return t.part.select(F.col("p_partkey").alias("k")).exceptAll(t.lineitem.select(F.col("l_partkey").alias("k")).distinct()).distinct()
+    return t.part.select(F.col("p_partkey").alias("k")).exceptAll(t.lineitem.where("l_quantity < 3").select(F.col("l_partkey").alias("k")).distinct()).distinct()
 
 
-@query("SELECT 0 AS missing, 0 AS added")
+@query(f"""WITH {_POINTS}, a AS (SELECT fid, zoom, tile_x, tile_y, x, y FROM t WHERE zoom <= 2),
+k AS (SELECT fid, zoom, tile_x, tile_y, x, y FROM t WHERE zoom <= 2 AND fid % (1 << (2 - zoom)) = 0),
+m AS (SELECT zoom, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM k) GROUP BY zoom),
+e AS (SELECT zoom, count(*) AS n FROM (SELECT * FROM k EXCEPT ALL SELECT * FROM a) GROUP BY zoom)
+SELECT z.zoom, coalesce(m.n, 0) AS missing, coalesce(e.n, 0) AS added FROM (SELECT DISTINCT zoom FROM a) z LEFT JOIN m USING (zoom) LEFT JOIN e USING (zoom)""")
 def geometry_fidelity(spark, d):
-    a = tiled(spark, d, 2).select("fid", "zoom", "tile_x", "tile_y", "x", "y")
-    b = pyramid.over_zooms(points(spark, d), 2)
-    z = F.col("zoom")
-    b = b.select("fid", "zoom", grid.tile_index(F.col("nx"), z).alias("tile_x"), grid.tile_index(F.col("ny"), z).alias("tile_y"), "x", "y")
-    count = lambda x, y, n: x.exceptAll(y).agg(F.count(F.lit(1)).cast("int").alias(n))
-    return count(a, b, "missing").crossJoin(count(b, a, "added"))
+    """What decimation takes from each zoom of a pyramid, and that it adds nothing."""
+    columns = ["fid", "zoom", "tile_x", "tile_y", "x", "y"]
+    whole = tiled(spark, d, 2)
+    return facets.geometry_changes(whole, pyramid.decimated(whole, 2), columns, "zoom")

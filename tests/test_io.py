@@ -65,11 +65,23 @@ def test_converter_writes_tiles_that_read_back(spark, geojson, tmp_path):
 
 
 def test_vertex_rows(spark):
-    rows = [("cell_1", 10, 20), ("cell_1", 30, 20), ("cell_1", 20, 40), ("cell_1", 10, 20), ("cell_2", 50, 60), ("cell_2", 70, 60), ("cell_2", 60, 80), ("cell_2", 50, 60), ("two", 0, 0), ("two", 1, 1), ("null", None, 1)]
-    df = spark.createDataFrame([(i, r[0], None if r[1] is None else float(r[1]), float(r[2])) for i, r in enumerate(rows)], "pos int, cell_id string, x double, y double").repartition(3)
-    got = features.polygons(df, "cell_id", "x", "y", "pos").orderBy("fid").collect()
-    assert [r.tags["cell_id"] for r in got] == ["cell_1", "cell_2"] and [abs(geometry.signed_area(np.array(r.parts[0]))) for r in got] == [200, 200]
-    assert registry.feature_bounds(features.polygons(df, "cell_id", "x", "y", "pos")) == (10, 20, 70, 80)
+    """Regular polygons about random centres, vertices dealt at random, next to what makes no ring."""
+    rng, rows, want = np.random.default_rng(29), [], {}
+    for k, sides in enumerate([3, 5, 8, 13]):
+        turn = 2 * np.pi * np.arange(sides) / sides
+        ring = rng.uniform(-90, 90, 2) + rng.uniform(2, 9) * np.column_stack([np.cos(turn), np.sin(turn)])
+        ring = np.vstack([ring, ring[:1]]) if k % 2 else ring  # closed or not
+        want[f"p{k}"] = ring[:sides]
+        rows += [(j, f"p{k}", *v) for j, v in enumerate(ring.tolist())]
+    rows += [(0, "short", 1.0, 2.0), (1, "short", 3.0, 4.0), (0, "none", None, 5.0)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame(rows, "pos int, cell_id string, x double, y double").repartition(3)
+    got = {r.tags["cell_id"]: np.array(r.parts[0]) for r in features.polygons(df, "cell_id", "x", "y", "pos").collect()}
+    assert got.keys() == want.keys()
+    for name, ring in want.items():
+        assert abs(abs(geometry.signed_area(got[name])) - abs(geometry.signed_area(ring))) < 1e-9 and np.allclose(np.sort(got[name], axis=0), np.sort(ring, axis=0))
+    every = np.vstack(list(want.values()))
+    assert np.allclose(registry.feature_bounds(features.polygons(df, "cell_id", "x", "y", "pos")), [*every.min(axis=0), *every.max(axis=0)])
 
 
 def test_swc(spark, tmp_path):
