@@ -189,6 +189,22 @@ def ring_distance(x: Column, y: Column, cx: Column, cy: Column, d: Column | None
     return F.greatest(*parts, F.abs(d - cd)) if d is not None else F.greatest(*parts)
 
 
+def inside(v: Column, low: Column | float, high: Column | float, closed: bool = False) -> Column:
+    """Whether low <= v < high; with ``closed``, high itself is inside, too."""
+    return (v >= low) & ((v <= high) if closed else (v < high))
+
+
+def interval_fate(low: Column, high: Column, k1: Column | float, k2: Column | float) -> Column:
+    """What clipping to [k1, k2) does to an interval: ``outside`` and ``inside`` need no work, ``across`` does."""
+    return F.when((low >= k2) | (high < k1), "outside").when((low >= k1) & (high < k2), "inside").otherwise("across")
+
+
+def box_fate(*fates: Column) -> Column:
+    """The fate of a box from those of its axes: one axis outside is enough, inside needs all of them."""
+    every = F.array(*fates)
+    return F.when(F.array_contains(every, "outside"), "outside").when(F.array_contains(every, "across"), "across").otherwise("inside")
+
+
 def zigzag(v: Column) -> Column:
     """Signed to unsigned: 0, -1, 1, -2 become 0, 1, 2, 3."""
     v = v.cast("long")

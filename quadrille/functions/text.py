@@ -54,6 +54,16 @@ def parse_hive_path(path: Column, names: list[str]) -> list[Column]:
     return [F.regexp_extract(path, f"(?:^|/){n}=(-?[0-9]+)(?:/|$)", 1).try_cast("int") for n in names]
 
 
+def is_dated(name: Column) -> Column:
+    """Whether a folder's name is a date, yyyy-mm-dd, by its form alone."""
+    return name.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+
+
+def epoch_millis(day: Column) -> Column:
+    """Milliseconds from 1970-01-01 to the start of a date in UTC, whatever the session's zone, as text."""
+    return (F.unix_date(day).cast("long") * 86_400_000).cast("string")
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
 

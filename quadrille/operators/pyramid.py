@@ -47,6 +47,13 @@ def normalised(df: DataFrame, box: DataFrame | None = None, x: str = "x", y: str
     return df.drop("x_min", "x_max", "y_min", "y_max")
 
 
+def clipped_points(df: DataFrame, box: dict[str, tuple[float, float]], closed: bool = False) -> DataFrame:
+    """Points inside a box, given by column; half-open, or with its upper bounds. A filter the scan can take."""
+    for name, (low, high) in box.items():
+        df = df.where(grid.inside(F.col(name), low, high, closed))
+    return df
+
+
 def over_zooms(df: DataFrame, top: int, low: int = 0) -> DataFrame:
     """A row per zoom: one pass instead of a union of levels."""
     return df.withColumn("zoom", F.explode(F.sequence(F.lit(low), F.lit(top))))

@@ -51,6 +51,17 @@ def by_label(labels: DataFrame, properties: DataFrame, label: str = "label", key
     return labels.join(right, F.col(label).cast("string") == F.col("_key"), "left").drop("_key")
 
 
+def annotated(bodies: DataFrame, annotations: DataFrame, key: str, columns: list[str], name: str = "annotations") -> DataFrame:
+    """Left join of bodies with their annotations, as a map of the columns that hold text other than white space.
+
+    A body without a match has an empty map; one with several rows of annotations gets a row for each.
+    """
+    filled = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in columns])
+    held = F.map_from_entries(F.filter(filled, lambda e: e["value"].isNotNull() & (F.trim(e["value"]) != "")))
+    right = annotations.select(F.col(key), held.alias(name))
+    return bodies.join(right, key, "left").withColumn(name, F.coalesce(name, F.create_map().cast("map<string,string>")))
+
+
 def tree_edges(nodes: DataFrame, tree: str = "tree") -> DataFrame:
     """(tree, id, parent) with both ends' columns: the segments of a tree of parent pointers."""
     up = nodes.select(F.col(tree), F.col("id").alias("parent"), *[F.col(c).alias(f"parent_{c}") for c in nodes.columns if c not in (tree, "id", "parent")])

@@ -30,13 +30,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import codecs  # noqa: F401  registers the queries of the binary formats
+    from . import codecs, columns  # noqa: F401  register more queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import codecs  # noqa: F401
+    from . import codecs, columns  # noqa: F401
 
     return dict(_SQL)
 
