@@ -1,11 +1,12 @@
-"""Registered queries of the geometry algorithms and binary formats. Most have no SQL form; tests hold them against
-fixtures. Those that have one compare what can be counted."""
+"""Registered queries of the geometry algorithms and binary formats. Some have no SQL form; tests hold them against
+fixtures. Clipping is compared by the length and area in every tile, the rest that has SQL by what can be counted."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import flat
 from ..operators import fragments as frag
 from ..sinks import tilesets
 from ..sources import features as source
@@ -35,19 +36,49 @@ def solids(spark, d) -> DataFrame:
     return p.select(F.col("p_partkey").alias("fid"), F.lit(5).cast("tinyint").alias("kind"), F.array(ring).alias("parts"), F.create_map(F.lit("brand"), F.col("p_brand")).alias("tags"))
 
 
-_N = "(SELECT DISTINCT l_orderkey FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) WHERE n >= {least})"
+#: No vertex lies on an edge of a tile here, as vertices are whole numbers.
+OFF_GRID = (0.0, 0.0, 110001.0, 61.0)
 
+_EDGES = f"""WITH {q._VERTICES}, u AS (SELECT id, pos, n, x / 110001.0 AS ax, y / 61.0 AS ay FROM v),
+g AS (SELECT CAST(z.range AS INT) AS zoom, gx.range AS tile_x, gy.range AS tile_y, pow(2, z.range) AS m FROM range(0, 3) z, range(0, 4) gx, range(0, 4) gy WHERE gx.range < pow(2, z.range) AND gy.range < pow(2, z.range)),
+b AS (SELECT *, tile_x / m AS x0, (tile_x + 1) / m AS x1, tile_y / m AS y0, (tile_y + 1) / m AS y1 FROM g),"""
 
-@q.query(f"SELECT count(*) AS features FROM {_N.format(least=2)}")
-def clip_polyline(spark, d):
-    """Polylines clipped over three zooms; every feature has fragments."""
-    return frag.fragments(lines(spark, d), BOUNDS, 2).agg(F.count_distinct("feature_id").alias("features"))
 
+def _corners(part):
+    return F.transform(part, lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
 
-@q.query()
+
+def _measured(found: DataFrame, size, unit: int) -> DataFrame:
+    """Fragments with their parts' sizes in whole units; those of less than half a unit go."""
+    total = F.aggregate(F.transform("parts", lambda p: size(_corners(p))), F.lit(0.0), lambda a, b: a + b)
+    own = found.groupBy("feature_id", "zoom", "tile_x", "tile_y").agg(F.sum(total).alias("size"))
+    return own.withColumn("size", F.floor(F.abs("size") * unit + 0.5).cast("long")).where("size > 0")
+
+
+@q.query(f"""{_EDGES} e AS (SELECT id, ax, ay, lead(ax) OVER w - ax AS dx, lead(ay) OVER w - ay AS dy FROM u WINDOW w AS (PARTITION BY id ORDER BY pos)),
+c AS (SELECT id, zoom, tile_x, tile_y, sqrt(dx * dx + dy * dy) AS long,
+greatest(0, CASE WHEN dx <> 0 THEN least((x0 - ax) / dx, (x1 - ax) / dx) ELSE 0 END, CASE WHEN dy <> 0 THEN least((y0 - ay) / dy, (y1 - ay) / dy) ELSE 0 END) AS t0,
+least(1, CASE WHEN dx <> 0 THEN greatest((x0 - ax) / dx, (x1 - ax) / dx) ELSE 1 END, CASE WHEN dy <> 0 THEN greatest((y0 - ay) / dy, (y1 - ay) / dy) ELSE 1 END) AS t1
+FROM e, b WHERE dx IS NOT NULL AND (dx <> 0 OR (ax >= x0 AND ax < x1)) AND (dy <> 0 OR (ay >= y0 AND ay < y1)))
+SELECT * FROM (SELECT id AS feature_id, zoom, tile_x, tile_y, CAST(floor(sum((t1 - t0) * long) * 1000000 + 0.5) AS BIGINT) AS size FROM c WHERE t1 > t0 GROUP BY ALL) WHERE size > 0""")
+def clip_polyline(spark, d):
+    """The length of every polyline in every tile of three zooms, in millionths of the world's width; the SQL clips
+    each segment by itself."""
+    return _measured(frag.fragments(lines(spark, d), OFF_GRID, 2, simplify=False), flat.length, 1_000_000)
+
+
+@q.query(f"""{_EDGES} e AS (SELECT id, ax, ay, coalesce(lead(ax) OVER w, first_value(ax) OVER w) AS ex, coalesce(lead(ay) OVER w, first_value(ay) OVER w) AS ey FROM u WHERE n >= 3 WINDOW w AS (PARTITION BY id ORDER BY pos)),
+c AS (SELECT *, ax + (ex - ax) * (ca - ay) / (ey - ay) AS sx, ax + (ex - ax) * (cb - ay) / (ey - ay) AS tx
+FROM (SELECT *, greatest(y0, least(y1, ay)) AS ca, greatest(y0, least(y1, ey)) AS cb FROM e, b WHERE ay <> ey) WHERE ca <> cb),
+k AS (SELECT id, zoom, tile_x, tile_y, cb - ca AS dy, CASE WHEN abs(tx - sx) < 1e-12 THEN greatest(x0, least(x1, sx)) - x0 ELSE
+((CASE WHEN tx <= x0 THEN 0 WHEN tx < x1 THEN (tx - x0) * (tx - x0) / 2 ELSE (x1 - x0) * (x1 - x0) / 2 + (x1 - x0) * (tx - x1) END)
+- (CASE WHEN sx <= x0 THEN 0 WHEN sx < x1 THEN (sx - x0) * (sx - x0) / 2 ELSE (x1 - x0) * (x1 - x0) / 2 + (x1 - x0) * (sx - x1) END)) / (tx - sx) END AS wide FROM c)
+SELECT * FROM (SELECT id AS feature_id, zoom, tile_x, tile_y, CAST(floor(abs(sum(wide * dy)) * 1000000 + 0.5) AS BIGINT) AS size FROM k GROUP BY ALL) WHERE size > 0""")
 def clip_polygon(spark, d):
-    found = frag.fragments(areas(spark, d), BOUNDS, 2)
-    return found.groupBy("zoom", "tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("parts")).alias("rings"))
+    """The area, by winding, of every polygon in every tile of three zooms, in millionths of the world's; the SQL
+    integrates along the edges and clips nothing."""
+    area = lambda ring: flat.doubled_area(F.concat(ring, F.slice(ring, 1, 1))) / 2
+    return _measured(frag.fragments(areas(spark, d), OFF_GRID, 2, simplify=False), area, 1_000_000)
 
 
 @q.query()
