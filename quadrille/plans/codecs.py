@@ -3,9 +3,12 @@ fixtures. Clipping is compared by the length and area in every tile, the rest th
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..codecs import precomputed
 from ..functions import flat
 from ..operators import fragments as frag
 from ..sinks import tilesets
@@ -120,10 +123,36 @@ def glb_roundtrip(spark, d):
     return tilesets.glb_tiles(frag.fragments(solids(spark, d), box, 1), box).select("path", F.octet_length("content").alias("bytes"))
 
 
-@q.query()
+def _decoded(files: DataFrame, read) -> DataFrame:
+    """path and what ``read`` (path, bytes to text) finds in each file."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([read(p, c) for p, c in rows], pa.string())], names=["path", "found"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, found string")
+
+
+def _numbers(rows) -> str:
+    return ",".join(" ".join(str(int(v)) for v in r) for r in rows)
+
+
+def _mesh_text(path: str, content: bytes) -> str:
+    """Corners of every face in hundredths, in order; a manifest as it is."""
+    if ":" not in path:
+        return content.decode()
+    vertices, faces = precomputed.read_mesh(content)
+    return "|".join(sorted(_numbers(sorted(np.rint(vertices[f].astype(float) * 100).tolist())) for f in faces))
+
+
+@q.query("""WITH c AS (SELECT p_partkey AS k, p_partkey % 97 AS a, p_partkey * 7 % 97 AS b, p_partkey * 31 % 97 AS c FROM part)
+SELECT CAST(k AS VARCHAR) AS path, '{"fragments": ["' || k || ':0"]}' AS found FROM c UNION ALL
+SELECT k || ':0', concat_ws(' ', a, b, c) || ',' || concat_ws(' ', a, b + 2, c) || ',' || concat_ws(' ', a + 2, b, c) FROM c""")
 def precomputed_meshes(spark, d):
+    """Manifests and meshes, read back: whole faces, each once however many tiles it is in."""
     box = (0.0, 0.0, 0.0, 1.0, 1.0, 1.0)
-    return tilesets.precomputed_meshes(frag.fragments(solids(spark, d), box, 1), box).select("path", F.octet_length("content").alias("bytes"))
+    return _decoded(tilesets.precomputed_meshes(frag.fragments(solids(spark, d), box, 1), box), _mesh_text)
 
 
 @q.query()
@@ -138,9 +167,17 @@ def trees(spark, d) -> DataFrame:
     return v.select(F.col("id").cast("string").alias("neuron"), F.col("pos").alias("id"), (F.col("pos") % 3).cast("int").alias("type"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("pos").cast("double").alias("z"), F.lit(1.0).alias("r"), F.when(F.col("pos") == 1, -1).otherwise(F.floor(F.col("pos") / 2)).cast("int").alias("parent"))
 
 
-@q.query()
+def _skeleton_text(path: str, content: bytes) -> str:
+    """Positions, edges, radii and types."""
+    vertices, edges, found = precomputed.read_skeleton(content, ["radius", "type"])
+    return "|".join([_numbers(vertices), _numbers(sorted(edges.tolist(), key=lambda e: e[1])), _numbers(zip(found["radius"], found["type"], strict=True))])
+
+
+@q.query(f"""WITH {q._VERTICES} SELECT CAST(id AS VARCHAR) AS path, string_agg(concat_ws(' ', x, y, pos), ',' ORDER BY pos) || '|' ||
+coalesce(string_agg(concat_ws(' ', pos // 2 - 1, pos - 1), ',' ORDER BY pos) FILTER (pos > 1), '') || '|' || string_agg('1 ' || pos % 3, ',' ORDER BY pos) AS found FROM v GROUP BY id""")
 def skeleton_encode(spark, d):
-    return tilesets.skeletons(trees(spark, d)).select("path", F.octet_length("content").alias("bytes"))
+    """Skeletons of all trees, read back."""
+    return _decoded(tilesets.skeletons(trees(spark, d)), _skeleton_text)
 
 
 @q.query("SELECT CAST(l_orderkey AS VARCHAR) AS neuron, CAST(count(*) AS BIGINT) AS nodes FROM lineitem GROUP BY l_orderkey")
@@ -162,8 +199,6 @@ def tube_meshes(spark, d):
 @q.query()
 def mesh_levels(spark, d):
     """Quadric levels of detail of icospheres, a mesh a supplier."""
-    import numpy as np
-
     from ..functions.geometry import icosphere
 
     v, f = icosphere(np.zeros(3), 1.0, 2)
