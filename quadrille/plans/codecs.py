@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..codecs import precomputed
+from ..codecs import precomputed, tile3d
 from ..functions import flat
 from ..operators import fragments as frag
 from ..sinks import tilesets
@@ -111,10 +111,31 @@ def mvt_roundtrip(spark, d):
     return files.select("path", F.octet_length("content").alias("bytes"))
 
 
-@q.query()
+def _features3(files: DataFrame) -> DataFrame:
+    """path, fid, brand and faces, in hundredths of the world, of the features in 3D vector tiles."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                zoom, *tile = (int(n) for n in path.removesuffix(".pbf3").split("/"))
+                for f in (f for layer in tile3d.decode(content) for f in layer["features"]):
+                    world = (f["positions"].astype(float) / 4096 + tile) / 2**zoom
+                    corners = np.rint(world * 100)[f["indices"]].reshape(-1, 3, 3)
+                    rows.append((path, f["id"], f["tags"]["brand"], "|".join(sorted(_numbers(sorted(t.tolist())) for t in corners))))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["path", "fid", "brand", "faces"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, fid long, brand string, faces string")
+
+
+@q.query("""WITH c AS (SELECT p_partkey AS fid, p_brand AS brand, p_partkey % 97 AS a, p_partkey * 7 % 97 AS b, p_partkey * 31 % 97 AS c FROM part),
+t AS (SELECT 0 AS zoom, 0 AS x, 0 AS y, 0 AS d UNION ALL SELECT 1, x.range, y.range, d.range FROM range(0, 2) x, range(0, 2) y, range(0, 2) d)
+SELECT concat_ws('/', zoom, x, y, d) || '.pbf3' AS path, fid, brand, concat_ws(' ', a, b, c) || ',' || concat_ws(' ', a, b + 2, c) || ',' || concat_ws(' ', a + 2, b, c) AS faces
+FROM c, t WHERE zoom = 0 OR (x BETWEEN a // 50 AND (a + 2) // 50 AND y BETWEEN b // 50 AND (b + 2) // 50 AND d = c // 50)""")
 def pbf3_roundtrip(spark, d):
-    files = tilesets.pbf3_tiles(frag.fragments(solids(spark, d), (0.0, 0.0, 0.0, 1.0, 1.0, 1.0), 1), "solids")
-    return files.select("path", F.octet_length("content").alias("bytes"))
+    """3D vector tiles made and read back: every face that meets a tile, whole."""
+    return _features3(tilesets.pbf3_tiles(frag.fragments(solids(spark, d), (0.0, 0.0, 0.0, 1.0, 1.0, 1.0), 1), "solids"))
 
 
 @q.query()
