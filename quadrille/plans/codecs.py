@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..codecs import precomputed, tile3d
+from ..codecs import glb, precomputed, tile3d
 from ..functions import flat
 from ..operators import fragments as frag
 from ..sinks import tilesets
@@ -129,19 +129,41 @@ def _features3(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, fid long, brand string, faces string")
 
 
-@q.query("""WITH c AS (SELECT p_partkey AS fid, p_brand AS brand, p_partkey % 97 AS a, p_partkey * 7 % 97 AS b, p_partkey * 31 % 97 AS c FROM part),
+_FACES = """WITH c AS (SELECT p_partkey AS fid, p_brand AS brand, p_partkey % 97 AS a, p_partkey * 7 % 97 AS b, p_partkey * 31 % 97 AS c FROM part),
 t AS (SELECT 0 AS zoom, 0 AS x, 0 AS y, 0 AS d UNION ALL SELECT 1, x.range, y.range, d.range FROM range(0, 2) x, range(0, 2) y, range(0, 2) d)
-SELECT concat_ws('/', zoom, x, y, d) || '.pbf3' AS path, fid, brand, concat_ws(' ', a, b, c) || ',' || concat_ws(' ', a, b + 2, c) || ',' || concat_ws(' ', a + 2, b, c) AS faces
-FROM c, t WHERE zoom = 0 OR (x BETWEEN a // 50 AND (a + 2) // 50 AND y BETWEEN b // 50 AND (b + 2) // 50 AND d = c // 50)""")
+SELECT concat_ws('/', zoom, x, y, d) || '{end}' AS path, {ident}, brand, concat_ws(' ', a, b, c) || ',' || concat_ws(' ', a, b + 2, c) || ',' || concat_ws(' ', a + 2, b, c) AS faces
+FROM c, t WHERE zoom = 0 OR (x BETWEEN a // 50 AND (a + 2) // 50 AND y BETWEEN b // 50 AND (b + 2) // 50 AND d = c // 50)"""
+
+
+@q.query(_FACES.format(end=".pbf3", ident="fid"))
 def pbf3_roundtrip(spark, d):
     """3D vector tiles made and read back: every face that meets a tile, whole."""
     return _features3(tilesets.pbf3_tiles(frag.fragments(solids(spark, d), (0.0, 0.0, 0.0, 1.0, 1.0, 1.0), 1), "solids"))
 
 
-@q.query()
+def _features_glb(files: DataFrame) -> DataFrame:
+    """path, name, brand and faces, in hundredths, of the nodes in binary glTF tiles."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                doc, (positions, corners) = glb.document(content), glb.decode(content)
+                sizes = [doc["accessors"][doc["meshes"][n["mesh"]]["primitives"][0]["indices"]]["count"] for n in doc["nodes"]]
+                for node, own in zip(doc["nodes"], np.split(corners, np.cumsum(sizes)[:-1]), strict=True):
+                    faces = np.rint(positions[own].astype(float) * 100).reshape(-1, 3, 3)
+                    rows.append((path, node["name"], node["extras"]["brand"], "|".join(sorted(_numbers(sorted(t.tolist())) for t in faces))))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "name", "brand", "faces"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, name string, brand string, faces string")
+
+
+@q.query(_FACES.format(end=".glb", ident="CAST(fid AS VARCHAR) AS name"))
 def glb_roundtrip(spark, d):
+    """Binary glTF tiles made and read back: a node a feature, every face that meets the tile, whole."""
     box = (0.0, 0.0, 0.0, 1.0, 1.0, 1.0)
-    return tilesets.glb_tiles(frag.fragments(solids(spark, d), box, 1), box).select("path", F.octet_length("content").alias("bytes"))
+    return _features_glb(tilesets.glb_tiles(frag.fragments(solids(spark, d), box, 1), box))
 
 
 def _decoded(files: DataFrame, read) -> DataFrame:
