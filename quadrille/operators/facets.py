@@ -105,8 +105,10 @@ def same_geometry(before: DataFrame, after: DataFrame, columns: list[str]) -> bo
 
 def geometry_changes(before: DataFrame, after: DataFrame, columns: list[str], group: str) -> DataFrame:
     """(group, missing, added): rows of ``before`` that ``after`` lacks, and the other way round, as often as they are."""
-    a, b = before.select(*columns), after.select(*columns)
-    one = F.lit(1).cast("long")
-    rows = a.exceptAll(b).select(group, one.alias("missing"), (one * 0).alias("added")).unionByName(b.exceptAll(a).select(group, (one * 0).alias("missing"), one.alias("added")))
-    rows = rows.unionByName(a.select(group).distinct().select(group, (one * 0).alias("missing"), (one * 0).alias("added")))
-    return rows.groupBy(group).agg(F.sum("missing").alias("missing"), F.sum("added").alias("added"))
+    # one exchange for both directions: a row of either table by how much oftener it is in the other
+    sides = before.select(*columns, F.lit(1).alias("_d")).unionByName(after.select(*columns, F.lit(-1).alias("_d")))
+    rows = sides.groupBy(*columns).agg(F.sum("_d").alias("_d"), F.max("_d").alias("_in"))
+    more = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0).cast("long"))), F.lit(0).cast("long"))
+    known = F.max(F.when(F.col("_in") > 0, 1))
+    found = rows.groupBy(group).agg(more(F.col("_d")).alias("missing"), more(-F.col("_d")).alias("added"), known.alias("_in"))
+    return found.where("_in = 1 or added > 0").drop("_in")
