@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from quadrille.codecs import glb, precomputed, tile3d
-from quadrille.functions import geometry
+from quadrille.functions import clipping, geometry
 from quadrille.operators import fragments, sequences
 from quadrille.sinks import tilesets
 
@@ -72,3 +72,59 @@ def test_skeletons_of_many_trees_at_once():
     for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
         edges = np.array([(p - 10, i) for i, p in enumerate(parents[a:b]) if p >= 0]).reshape(-1, 2)
         assert found[k] == precomputed.skeleton(xyz[a:b], edges, {"radius": radius[a:b], "type": np.arange(9)[a:b]})
+
+
+def test_tubes_of_many_paths_at_once():
+    r = np.random.default_rng(3)
+    sizes = [2, 5, 3]
+    off, p = np.concatenate([[0], np.cumsum(sizes)]), r.random((10, 4))
+    p[3] = p[2]  # a segment of no length
+    for i, (positions, indices) in enumerate(zip(*geometry.tubes(p, off, 6), strict=True)):
+        v, f = geometry.tube(p[off[i] : off[i + 1], :3], p[off[i] : off[i + 1], 3], 6)
+        assert np.allclose(np.frombuffer(positions, "<f4").reshape(-1, 3), v, atol=1e-6) and np.array_equal(np.frombuffer(indices, "<u4").reshape(-1, 3), f)
+
+
+def test_many_lines_are_simplified_as_each_by_itself():
+    r = np.random.default_rng(4)
+    sizes = r.integers(1, 12, 300)
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    v = r.integers(0, 6, (off[-1], 2)) / 6.0
+    for segment in (False, True):
+        for least in (2, 4):
+            one = np.concatenate([geometry.kept(v[a:b], 0.21, least, segment) for a, b in zip(off[:-1], off[1:], strict=True)])
+            assert np.array_equal(one, geometry.kept_of(v, off, 0.21, least, segment))
+
+
+def test_fragments_are_measured_where_they_are_cut(spark):
+    rows = [(1, 2, [[[0.1, 0.1], [0.9, 0.1]]], {}), (2, 2, [[[0.1, 0.2], [0.2, 0.2]], [[0.1, 0.3], [0.1, 0.4]]], {})]
+    df = spark.createDataFrame(rows, "fid long, kind tinyint, parts array<array<array<double>>>, tags map<string,string>")
+    found = fragments.fragments(df, (0.0, 0.0, 1.0, 1.0), 1, measure=clipping.lengths)
+    assert {(r.feature_id, r.zoom, r.tile_x): round(r.size, 9) for r in found.collect()} == {(1, 0, 0): 0.8, (1, 1, 0): 0.4, (1, 1, 1): 0.4, (2, 0, 0): 0.2, (2, 1, 0): 0.2}
+    assert clipping.areas(np.array([[0, 0], [2, 0], [0, 2.0], [0, 0], [0, 1], [1, 0.0]]), np.array([0, 3, 6])).tolist() == [2.0, -0.5]
+
+
+def test_equal_meshes_are_collapsed_once_and_over_all_cores(spark):
+    v, f = geometry.icosphere(np.zeros(3), 1.0, 1)
+    rows = [(f"m{i}", bytearray(v.astype("<f4").tobytes()), bytearray(f.astype("<u4").tobytes()), {}) for i in range(40)]
+    df = spark.createDataFrame(rows, "name string, positions binary, indices binary, tags map<string,string>").coalesce(1)
+    out = fragments.simplified_meshes(df, 1, base=1)
+    assert out.rdd.getNumPartitions() > 1 and out.select("zoom", "positions", "indices").distinct().count() == 2 and out.count() == 80
+
+
+def test_changes_take_one_exchange_and_runs_no_aggregation(spark):
+    from quadrille.operators import facets
+
+    df = spark.createDataFrame([(1, i, k) for i, k in enumerate(["a", "a", None, None, "b", "a"], 1)] + [(2, 1, "a")], "id long, pos int, kind string")
+    own = sequences.runs(df, ["id"], "pos", "kind")
+    assert sorted((tuple(r) for r in own.collect()), key=lambda r: r[:2]) == [(1, 1, "a", 1, 2, 2), (1, 2, None, 3, 4, 2), (1, 3, "b", 5, 5, 1), (1, 4, "a", 6, 6, 1), (2, 1, "a", 1, 1, 1)]
+    assert "Aggregate" not in own._jdf.queryExecution().optimizedPlan().toString()
+    changes = facets.geometry_changes(df, df.where("pos > 1"), ["id", "pos"], "id")
+    assert {tuple(r) for r in changes.collect()} == {(1, 1, 0), (2, 1, 0)} and changes._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_a_large_table_is_spread_by_its_size(spark, tmp_path, monkeypatch):
+    spark.range(1000).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert sequences.spread(df, "id") is df
+    monkeypatch.setattr(sequences, "_SHARE", 100)
+    assert sequences.spread(df, "id").rdd.getNumPartitions() > 4
