@@ -128,3 +128,17 @@ def test_a_large_table_is_spread_by_its_size(spark, tmp_path, monkeypatch):
     assert sequences.spread(df, "id") is df
     monkeypatch.setattr(sequences, "_SHARE", 100)
     assert sequences.spread(df, "id").rdd.getNumPartitions() > 4
+
+
+def test_a_flat_tile_of_many_features_takes_several_files(spark, tmp_path):
+    from quadrille.codecs import mvt
+    from quadrille.sinks import files
+    from quadrille.sources import features
+
+    rows = [(i, 3, [[[0.1, 0.1], [0.1 + i / 100, 0.1], [0.1, 0.2]]], {"id": str(i)}) for i in range(1, 41)]
+    frags = fragments.fragments(spark.createDataFrame(rows, "fid long, kind tinyint, parts array<array<array<double>>>, tags map<string,string>"), (0.0, 0.0, 1.0, 1.0), 0)
+    one, many = dealt(tilesets.mvt_tiles(frags, "l"), ".pbf"), dealt(tilesets.mvt_tiles(frags, "l", most=10), ".pbf")
+    of = lambda files: sorted((f["id"], f["tags"]["id"], str(f["parts"])) for c in files.values() for layer in mvt.decode(c) for f in layer["features"])
+    assert list(one) == ["0/0/0.pbf"] and len(many) == 4 and of(one) == of(many) and len(of(one)) == 40
+    files.write_files(tilesets.mvt_tiles(frags, "l", most=10), f"{tmp_path}/v")
+    assert features.mvt_tiles(spark, f"{tmp_path}/v", (0.0, 0.0, 1.0, 1.0), zoom=0, tile_x=0, tile_y=0).count() == 40
