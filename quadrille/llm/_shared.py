@@ -226,25 +226,24 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     Each round sends every node's neighbours and itself to the smallest neighbour (large star), then every
     node and its smaller neighbours to the smallest (small star); rounds are logarithmic in the longest path.
     Rows stay linear in the edges, minima are combined before the shuffle, and joins on hot nodes can be
-    split. Each round is written to the shared folder, so lineage doesn't grow.
+    split. Each round is written to the shared folder, so lineage doesn't grow. The minima tell when all edges are
+    stars (each node but the smallest has one neighbour, and that is smaller): no further round has to show it, and they
+    are the result.
     """
     spark, made = edges.sparkSession, len(paths())
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # minima are tables of their own, so that the joins below are plain ones, which can split a hot node
-        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), tag)
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        low = written(low.select("a", F.least("a", "m").alias("m"), ((F.col("m") < F.col("a")) & (F.col("n") > 1)).alias("open")), tag)
+        if low.where("open").isEmpty():
+            release(spark, *paths()[made:-1])
+            return low.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        large = both.join(low.select("a", "m"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.where("a <> b").distinct(), tag)
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), tag)
         small = large.join(least, "a")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
-        new = written(small.distinct(), tag)
-        sums = lambda d: d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-        done = sums(new) == sums(now)
-        now = new
+        now = written(small.distinct(), tag)
         release(spark, *paths()[made:-1])
-        if done:
-            break
-    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

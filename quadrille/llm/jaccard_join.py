@@ -165,44 +165,61 @@ def _roots(run: int, runs: int) -> list[int]:
     return order[run + run // 4 : run + runs + (run + runs) // 4]
 
 
+def _sizes(at: DataFrame, labelled: bool, last: bool) -> DataFrame:
+    """path, n, m, top (members, those of the commonest label, that label) and b of the nodes of (path, node, label) that
+    need comparison. b, of large nodes: the class that all others are compared with, of the ``last`` level the least one."""
+    h = F.col("node") if last else F.xxhash64("node", F.lit(6))
+    own = [F.count(F.lit(1)).alias("n"), F.min(h).alias("h"), F.min_by("node", h).alias("b")]
+    if not labelled:
+        nodes = at.groupBy("path").agg(*own).where("n > 1").select("path", "n", F.lit(0).cast("long").alias("m"), F.lit(None).cast("long").alias("top"), "b")
+    else:
+        sizes = at.groupBy("path", "label").agg(*own)
+        most = F.max(F.struct(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0).alias("m"), "label"))
+        # one that nothing is connected to yet is chosen first
+        pick = F.min(F.struct(F.lit(False).alias("old") if last else F.col("label").isNotNull().alias("old"), "h", "b"))
+        nodes = sizes.groupBy("path").agg(F.sum("n").alias("n"), most.alias("top"), pick["b"].alias("b"))
+        # what edges connect already needs no comparison
+        nodes = nodes.where("n > 1 and top.m < n").select("path", "n", F.col("top.m").alias("m"), F.col("top.label").alias("top"), "b")
+    return nodes.withColumn("b", F.when(F.col("n") > LEAF, F.col("b")))
+
+
 def candidate_edges(nodes: DataFrame, first: list[int]) -> DataFrame:
     """Edges (a, b) that connect all pairs of (node, sketch, label) found by the paths from roots with the coordinates
-    ``first``. label: a class that edges connect it to already, or null."""
+    ``first``. label: a class that edges connect it to already, or null; without that column all are null.
+
+    A level is few jobs, as each of them, whatever its rows, leaves plans, metrics and threads in the driver."""
     groups = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     roots = F.explode(F.array(*[F.xxhash64(F.lit(i), F.element_at("sketch", i + 1)) for i in first]))
-    at = nodes.select(roots.alias("path"), "node", "label")
+    labelled = "label" in nodes.columns
+    at = nodes.select(roots.alias("path"), "node", "label" if labelled else F.lit(None).cast("long").alias("label"))
     edges, leaves = [], []
     sketch = nodes.select("node", "sketch")
     for level in range(1, LEVELS + 1):
         at = written(at, "members")
-        sizes = at.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
-        most = F.max(F.struct(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0).alias("m"), "label"))
-        sizes = sizes.groupBy("path").agg(F.sum("n").alias("n"), most.alias("top"))
-        # what edges connect already needs no comparison
-        sizes = written(sizes.where("n > 1 and top.m < n").select("path", "n", F.col("top.m").alias("m"), F.col("top.label").alias("top")), "sizes")
+        sizes = written(_sizes(at, labelled or level > 1, level == LEVELS), "sizes")
         # paths of large nodes are few: joined on their own, their members aren't sent to one task a path
         heavy = sizes.where(F.col("n") > LEAF)
-        small = at.join(heavy, "path", "left_anti").join(sizes.where(F.col("n") <= LEAF), "path", "left_semi")
+        small = at.join(heavy.select("path"), "path", "left_anti").join(sizes.where(F.col("n") <= LEAF).select("path"), "path", "left_semi")
         leaves.append(small.select("path", "node"))
         if heavy.isEmpty():
             break
-        large = written(at.join(heavy, "path"), "nodes")
         if level == LEVELS:
-            edges.append(large.join(large.groupBy("path").agg(F.min("node").alias("b")), "path").select(F.col("node").alias("a"), "b"))
+            edges.append(at.join(heavy.select("path", "b"), "path").select(F.col("node").alias("a"), "b"))
             break
         settled = (F.col("n") - F.col("m")) * STRAY <= F.col("n")
-        edges.append(large.where(settled & ~F.col("label").eqNullSafe(F.col("top"))).select(F.col("node").alias("a"), F.col("top").alias("b")).distinct())
-        large = large.where(~settled).select("path", "node", "label")
-        # one that nothing is connected to yet is chosen first
-        chosen = large.groupBy("path").agg(F.min(F.struct(F.col("label").isNotNull().alias("old"), F.xxhash64("node", F.lit(6)).alias("h"), "node"))["node"].alias("b"))
-        chosen = chosen.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("to")), "b")
+        if labelled or level > 1:
+            strays = at.join(heavy.where(settled).select("path", "top"), "path").where(~F.col("label").eqNullSafe(F.col("top")))
+            edges.append(strays.select(F.col("node").alias("a"), F.col("top").alias("b")))
+        heavy = heavy.where(~settled)
+        large = at.join(heavy.select("path"), "path")
+        chosen = heavy.select("path", "b").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("to")), "b")
         alike = F.expr(f"aggregate(zip_with(sketch, to, (x, y) -> int(x = y)), 0, (s, x) -> s + x) / {COORDINATES}")
         # a node's members meet its chosen class in SALTS places, so a hot node isn't one task's
         salt = F.pmod(F.xxhash64("node", F.lit(4)), F.lit(SALTS)).alias("salt")
         chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         seen = large.join(sketch, "node").select("path", "node", "sketch", "label", salt).join(chosen, ["path", "salt"])
         seen = written(seen.select("path", "node", "sketch", "b", "label", alike.alias("alike")), "seen")
-        edges.append(seen.where(F.col("alike") >= LIKE).select(F.col("node").alias("a"), "b").distinct())
+        edges.append(seen.where(F.col("alike") >= LIKE).select(F.col("node").alias("a"), "b"))
         near, goes = F.col("alike") >= LIKE, (F.col("alike") < SAME) & (F.col("node") != F.col("b"))
         left = seen.groupBy("path").agg(F.min(F.when(near, F.col("label"))).alias("to"), F.sum(goes.cast("int")).alias("left"))
         rest = seen.where(goes).join(left.where("left > 1"), "path")
@@ -250,19 +267,16 @@ def measured_recall(nodes: DataFrame, clusters: DataFrame, probes: int = PROBES,
 def clusters_of(nodes: DataFrame, runs: int, recall: float = RECALL) -> DataFrame:
     """(node, root) of classes that paths connect: a quarter of ``runs`` runs, the rest of them on what these have left
     apart, and as many again until the recall is reached."""
-    spark, made, run, edges = nodes.sparkSession, len(paths()), 0, None
-    known, nodes = nodes.withColumn("label", F.lit(None).cast("long")), nodes.select("node", "sketch")
+    spark, made, run, found = nodes.sparkSession, len(paths()), 0, None
+    known = nodes = nodes.select("node", "sketch")
     while True:
         some = max(runs // 4, 1) if not run else max(runs - run, 0) or runs
         new = candidate_edges(known, _roots(run, some))
-        edges = written((new if edges is None else new.unionByName(edges)).distinct(), "edges")
-        edge_path = paths()[-1]
-        found = written(components(edges), "clusters")
-        found_path = paths()[-1]
-        release(spark, *[p for p in paths()[made:] if p not in (edge_path, found_path)])
+        # the clusters so far stand for all edges of earlier runs
+        found = components(new if found is None else new.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        release(spark, *paths()[made:-1])
         run += some
         if run >= runs and (not _roots(run, runs) or measured_recall(nodes, found) >= recall):
-            release(spark, edge_path)
             return found
         known = nodes.join(found.withColumnRenamed("root", "label"), "node", "left")
 
