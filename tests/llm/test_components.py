@@ -31,7 +31,7 @@ def test_roots(spark, kind):
 
 
 def test_stars_need_no_round(spark, monkeypatch):
-    """Two tables are written, the edges and their minima: six before, whose plans and metrics the driver keeps."""
+    """Two tables are written, the edges and their minima: five before, whose plans and metrics the driver keeps."""
     written, own = [], _shared.written
     monkeypatch.setattr(_shared, "written", lambda df, tag: written.append(tag) or own(df, tag))
     found = _shared.components(spark.createDataFrame([(k, 0) for k in range(1, 9)], "a long, b long"))
@@ -42,6 +42,6 @@ def test_a_level_of_large_nodes_writes_four_tables(spark, monkeypatch):
     """Members, sizes, what is compared and what is left; a fifth held the members of large nodes before."""
     tags, own = [], jaccard_join.written
     monkeypatch.setattr(jaccard_join, "written", lambda df, tag: tags.append(tag) or own(df, tag))
-    rows = [(k, [0] * 32 + [k] * 32) for k in range(jaccard_join.LEAF + 6)]
-    edges = jaccard_join.candidate_edges(spark.createDataFrame(rows, "node long, sketch array<int>"), [0])
+    rows = [(k, [0] * 32 + [k] * 32, None) for k in range(jaccard_join.LEAF + 6)]
+    edges = jaccard_join.candidate_edges(spark.createDataFrame(rows, "node long, sketch array<int>, label long"), [0])
     assert edges.columns == ["a", "b"] and tags[:4] == ["members", "sizes", "seen", "rest"]
