@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..stored import paths, release, written
+from ..stored import collected, paths, release, written
 
 #: The white space that contracts name as [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
@@ -220,7 +220,22 @@ class Links:
             self.up = up
 
 
-def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
+#: Edges that one task connects, at most: some 200 MB of its Python worker.
+LOCAL = 1 << 20
+
+
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of all edges (a, b) of a task."""
+    sides = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches if batch.num_rows]
+    if sides:
+        a, b = (np.concatenate(x) for x in zip(*sides, strict=True))
+        node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        links = Links(len(node))
+        links.join(at[: len(a)], at[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[links.roots()])], names=["node", "root"])
+
+
+def components(edges: DataFrame, tag: str = "cc", local: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long): root is the smallest node it reaches.
 
     Each round sends every node's neighbours and itself to the smallest neighbour (large star), then every
@@ -229,10 +244,17 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     split. Each round is written to the shared folder, so lineage doesn't grow. The minima tell when all edges are
     stars (each node but the smallest has one neighbour, and that is smaller): no further round has to show it, and they
     are the result.
+
+    As soon as a round has no more than ``local`` edges (``LOCAL`` if not given), one task connects them: a round is some
+    twenty jobs, whose plans, metrics and threads the driver holds, however few the edges are.
     """
-    spark, made = edges.sparkSession, len(paths())
+    spark, made, local = edges.sparkSession, len(paths()), LOCAL if local is None else local
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
     while True:
+        if now.count() <= local:
+            roots = written(now.coalesce(1).mapInArrow(_connected, "node long, root long"), tag)
+            release(spark, *paths()[made:-1])
+            return roots
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # minima are tables of their own, so that the joins below are plain ones, which can split a hot node
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
@@ -247,3 +269,4 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b")
         now = written(small.distinct(), tag)
         release(spark, *paths()[made:-1])
+        collected(spark)

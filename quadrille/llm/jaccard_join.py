@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..stored import paths, release, written
+from ..stored import collected, paths, release, written
 from ._shared import BASES, Links, Words, components, documents, mix, rolling, small_batches, text_bytes
 from .substring_dedup import joined
 
@@ -187,8 +187,10 @@ def candidate_edges(nodes: DataFrame, first: list[int]) -> DataFrame:
     """Edges (a, b) that connect all pairs of (node, sketch, label) found by the paths from roots with the coordinates
     ``first``. label: a class that edges connect it to already, or null; without that column all are null.
 
-    A level is few jobs, as each of them, whatever its rows, leaves plans, metrics and threads in the driver."""
-    groups = 4 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    A level is few jobs, as each of them, whatever its rows, leaves plans, metrics and threads in the driver, which are
+    collected after it."""
+    spark = nodes.sparkSession
+    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     roots = F.explode(F.array(*[F.xxhash64(F.lit(i), F.element_at("sketch", i + 1)) for i in first]))
     labelled = "label" in nodes.columns
     at = nodes.select(roots.alias("path"), "node", "label" if labelled else F.lit(None).cast("long").alias("label"))
@@ -226,6 +228,7 @@ def candidate_edges(nodes: DataFrame, first: list[int]) -> DataFrame:
         rest = written(rest.withColumn("label", F.when(near, F.coalesce("to", "b")).otherwise(F.col("label"))), "rest")
         leaves.append(rest.where(F.col("left") <= LEAF).select("path", "node"))
         at = _children(rest.where(F.col("left") > LEAF))
+        collected(spark)
     every = leaves[0]
     for x in leaves[1:]:
         every = every.unionByName(x)
@@ -275,6 +278,7 @@ def clusters_of(nodes: DataFrame, runs: int, recall: float = RECALL) -> DataFram
         # the clusters so far stand for all edges of earlier runs
         found = components(new if found is None else new.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         release(spark, *paths()[made:-1])
+        collected(spark)
         run += some
         if run >= runs and (not _roots(run, runs) or measured_recall(nodes, found) >= recall):
             return found
@@ -411,6 +415,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS
     made = len(paths())
     found = written(found.applyInArrow(lambda t: _linked(t, threshold), "node long, links long, b long"), "links")
     release(spark, *paths()[before:made])
+    collected(spark)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> b").select(F.col("node").alias("a"), "b"))
     per = nodes.select("f1", "f2", "node", "copies", "rep").join(links, "node", "left").join(roots, "node", "left")

@@ -45,3 +45,28 @@ def test_a_level_of_large_nodes_writes_four_tables(spark, monkeypatch):
     rows = [(k, [0] * 32 + [k] * 32, None) for k in range(jaccard_join.LEAF + 6)]
     edges = jaccard_join.candidate_edges(spark.createDataFrame(rows, "node long, sketch array<int>, label long"), [0])
     assert edges.columns == ["a", "b"] and tags[:4] == ["members", "sizes", "seen", "rest"]
+
+
+@pytest.mark.parametrize("local", [0, 6, 25])
+def test_rounds_and_one_task_agree(spark, local):
+    """Rounds to the end, rounds until few edges are left, one task at once."""
+    edges = [(k, k + 1) for k in range(0, 20)] + [(40 + k, 40) for k in range(1, 5)]
+    found = _shared.components(spark.createDataFrame(edges, "a long, b long"), local=local)
+    assert {r.node: r.root for r in found.collect()} == least(edges)
+
+
+def test_few_edges_need_no_round(spark, monkeypatch):
+    """A path's edges and roots are written: before, also the tables of every round."""
+    written, own = [], _shared.written
+    monkeypatch.setattr(_shared, "written", lambda df, tag: written.append(tag) or own(df, tag))
+    found = _shared.components(spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long"))
+    assert found.agg(F.max("root"), F.count("node")).first() == (0, 41) and len(written) == 2
+
+
+def test_the_driver_drops_what_a_level_leaves(spark, monkeypatch):
+    """After a level that has another below it; never before."""
+    calls, own = [], jaccard_join.collected
+    monkeypatch.setattr(jaccard_join, "collected", lambda s: calls.append(s) or own(s))
+    rows = [(k, [0] * 32 + [k] * 32, None) for k in range(jaccard_join.LEAF + 6)]
+    jaccard_join.candidate_edges(spark.createDataFrame(rows, "node long, sketch array<int>, label long"), [0])
+    assert calls
